@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, counts, langid, packing, quality, rules, urls
+from . import audio, bpe, counts, langid, neardup, packing, quality, repeats, rules, urls
 from .common import hash_part, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_policy(rules.ledger(load(spark, sf_dir, "documents"))).select(*rules.COLUMNS)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "copies", "n_links", "kept")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = langid.LanguageModel.learn(langid.training_rows(docs.filter(hash_part("doc_id", 3) != 1)))
@@ -56,8 +60,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (hash_part("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed_digests(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_url_filter, op3_token_counts, op4_quality, op5_media, op6_bpe, op7_quality_rules, op9_language)}
+    return {f.__name__: f for f in (op1_packing, op2_url_filter, op3_token_counts, op4_quality, op5_media, op6_bpe, op7_quality_rules, op8_near_duplicates, op9_language, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
