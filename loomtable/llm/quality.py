@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, hash_part, map_texts
+from .common import byte_view, hash_part, map_texts, text_slices
 
 #: Labelled rows that are learnt from, about.
 SAMPLE = 3000
@@ -230,8 +230,6 @@ def keep_good(docs: DataFrame, field: LineField, threshold: float = 0.3) -> Data
     schema, at = docs.schema, docs.columns.index("text")
 
     def run(batches):
-        from .common import text_slices
-
         for batch in batches:
             names = [f"c{i}" for i in range(batch.num_columns)]
             names[at] = "text"

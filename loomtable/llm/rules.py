@@ -95,8 +95,9 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, the measurements, fail_bits) of every document; further columns of docs are left out."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id"), text.alias("_text"), words_of(text).alias("_words"), F.filter(F.split(text, "\n"), lambda line: F.trim(F.translate(line, WHITE_SPACE, " " * 6)) != "").alias("_lines"))
-    measured = rows.select(
-        "doc_id",
+    # Measurements come out of a generator of one row: filters on them stay above it, where Spark would
+    # otherwise write the splitting of the text into every use of its words.
+    measures = F.struct(
         F.size("_words").cast("long").alias("n_words"),
         F.char_length(F.translate("_text", WHITE_SPACE, "")).cast("long").alias("word_chars"),
         (F.char_length("_text") - F.char_length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -104,6 +105,7 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeated_words("_words").alias("n_repeat_words"),
     )
+    measured = rows.select("doc_id", F.inline(F.array(measures)))
     bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)) for r in rules]
     mask = bits[0]
     for b in bits[1:]:
