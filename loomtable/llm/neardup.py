@@ -405,10 +405,10 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs with one document of each class: the one of the least id (of repeated rows, one)."""
-    kept = near_duplicates(docs, similar).filter("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("_n"))
-    keyed = docs.withColumn("_digest", digest_of())
-    kept = settle(kept.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_kept"), "_n"))
-    out = keyed.join(kept, (keyed._digest == kept._kept) & keyed.doc_id.eqNullSafe(kept._id), "left_semi")
-    if kept.filter("_n > 1").take(1):  # repeated rows: only then is a row dropped here
-        out = out.dropDuplicates(["doc_id", "_digest"])
-    return out.select(*docs.columns)
+    kept = near_duplicates(docs, similar).filter("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    kept = settle(kept.select(F.col("doc_id").alias("id"), F.col("digest").alias("chosen"), "n"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", digest_of().alias("digest"))
+    out = keyed.join(kept, (keyed.digest == kept.chosen) & keyed.doc_id.eqNullSafe(kept.id), "left_semi")
+    if kept.filter("n > 1").take(1):  # repeated rows: only then is a row dropped here
+        out = out.dropDuplicates(["doc_id", "digest"])
+    return out.select("row.*")

@@ -297,11 +297,11 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int,
 
 
 def _with_spans(docs: DataFrame, length: int, grams: tuple[int, ...], hot: int) -> DataFrame:
-    """docs with `_spans`: sorted spans of each row's text."""
-    spans = repeated_spans(docs, length, grams, hot)
-    lists = spans.groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_t")).agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("_spans"))
-    keyed = docs.withColumn("_tag", _tag(F.coalesce("text", F.lit(""))))
-    return keyed.join(lists, keyed.doc_id.eqNullSafe(lists._id) & (keyed._tag == lists._t), "left")
+    """(row, spans): every row of docs as a struct, and the sorted spans of its text or null."""
+    spans = repeated_spans(docs.select("doc_id", "text"), length, grams, hot)
+    lists = spans.groupBy(F.col("doc_id").alias("id"), "tag").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", _tag(F.coalesce("text", F.lit(""))).alias("own"))
+    return keyed.join(lists, keyed.doc_id.eqNullSafe(lists.id) & (keyed.own == lists.tag), "left").select("row", "spans")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -322,7 +322,7 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def removed_digests(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int, ...] = GRAMS, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
-    rows = _with_spans(docs.select("doc_id", "text"), length, grams, hot).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_spans")
+    rows = _with_spans(docs.select("doc_id", "text"), length, grams, hot).select("row.doc_id", F.coalesce("row.text", F.lit("")).alias("text"), "spans")
 
     def run(batches):
         for batch in text_slices(batches):
@@ -345,7 +345,7 @@ def without_repeats(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int,
     columns = docs.columns
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.col("n_chars").cast("long"))
-    rows = _with_spans(docs, length, grams, hot).select(*columns, "_spans")
+    rows = _with_spans(docs, length, grams, hot).select("row.*", "spans")
     at, schema = columns.index("text"), docs.schema
 
     def run(batches):
