@@ -317,14 +317,15 @@ def _against_all(alone: DataFrame, dealt: DataFrame, sizes: DataFrame, texts: Da
             pairs = {tuple(sorted((asking[i][3], members[j][3]))) for i, j in two_nearest(same)}
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
+        key = None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (members and members[0][:2] != row[:2]) or len(asking) >= BLOCK:
-                    if asking:
+                if row[:2] != key or len(asking) >= BLOCK:
+                    if asking and members:
                         yield answer()
                     asking = []
-                if members and members[0][:2] != row[:2]:
-                    members = []
+                if row[:2] != key:
+                    key, members = row[:2], []
                 (asking if row[2] else members).append(row)
         if asking and members:
             yield answer()

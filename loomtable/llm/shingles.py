@@ -45,10 +45,11 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[tuple[np.ndarray,
     """
     h, at = word_hashes(texts)
     # A shingle is a weighted sum of its words' hashes: order counts, and the sum is mixed.
-    run = np.zeros(max(0, len(h) - words + 1), np.uint64)
+    n = max(0, len(h) - words + 1)
+    run = np.zeros(n, np.uint64)
     factor = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(words)]
     for k in range(words):
-        run += h[k : len(h) - words + 1 + k] * np.uint64(factor[k])
+        run += h[k : n + k] * np.uint64(factor[k])
     run = mix(run)
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
