@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import byte_view, hash_part, map_texts, text_slices
 
-#: Labelled rows that are learnt from, about.
-SAMPLE = 3000
+#: Labelled rows that are learnt from, about, and the longest of them in characters.
+SAMPLE, LONGEST = 2000, 20_000
+#: Bytes whose features are worked out at once.
+BLOCK_BYTES = 1 << 19
 #: Kinds of bytes: upper case, lower case, digit, space, stop or comma, shouting mark, symbol, bar, other ASCII, beyond ASCII.
 KINDS = 10
 
@@ -53,6 +55,22 @@ def split_lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def line_features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Features of all lines, block by block: what a block of bytes needs besides is a small multiple of it."""
+    out = np.zeros((len(starts), FEATURES), np.float32)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK_BYTES, side="right")))
+        a, b = starts[at], ends[to - 1]
+        out[at:to] = _block_features(raw[a:b], starts[at:to] - a, ends[at:to] - a)
+        at = to
+    return out
+
+
+#: Numbers of a line.
+FEATURES = 2 * KINDS + 10
+
+
+def _block_features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Shares of the kinds of bytes, their squeezed forms, size, words and how the line ends."""
     size = (ends - starts).astype(np.float64)
     kind = KIND_OF[raw]
@@ -73,9 +91,11 @@ def word_repeats(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not len(raw):
         return np.zeros(len(starts))
     gap = KIND_OF[raw] == 3
-    begins = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
-    stops = np.flatnonzero(~gap & np.concatenate([gap[1:], [True]])) + 1
-    flat, square = (np.concatenate([[0], np.cumsum(v)]) for v in (raw.astype(np.int64), raw.astype(np.int64) ** 2))
+    edge = np.zeros(len(raw) + 1, bool)  # texts follow each other without a gap
+    edge[starts], edge[ends] = True, True
+    begins = np.flatnonzero(~gap & (edge[:-1] | np.concatenate([[True], gap[:-1]])))
+    stops = np.flatnonzero(~gap & (edge[1:] | np.concatenate([gap[1:], [True]]))) + 1
+    flat, square = (np.concatenate([[0], np.cumsum(v, dtype=np.int64)]) for v in (raw, raw.astype(np.uint16) ** 2))
     same = np.zeros(len(begins) + 1, np.int64)
     signs = np.stack([stops - begins, flat[stops] - flat[begins], square[stops] - square[begins]])
     same[1:-1] = (signs[:, 1:] == signs[:, :-1]).all(axis=0)
@@ -89,7 +109,7 @@ def with_neighbours(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     before, after = np.zeros_like(x), np.zeros_like(x)
     before[1:], after[:-1] = x[:-1], x[1:]
     before[first[:-1]], after[first[1:] - 1] = 0, 0
-    return np.column_stack([x, before, after, np.ones(len(x))])
+    return np.column_stack([x, before, after, np.ones(len(x), x.dtype)])
 
 
 def prefix_products(m: np.ndarray, since: np.ndarray) -> np.ndarray:
@@ -165,7 +185,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 150, decay: float =
     raw, offsets = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
     y = np.array(labels, np.int64)
     starts, ends, first = split_lines(raw, offsets)
-    x = line_features(raw, starts, ends) if len(texts) else np.zeros((0, 2 * KINDS + 10))
+    x = line_features(raw, starts, ends)
     mean, scale = (x.mean(axis=0), x.std(axis=0) + 0.05) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     field = LineField(mean, scale, np.zeros(3 * x.shape[1] + 1), np.zeros((2, 2)))
     if not len(texts) or y.min() == y.max():
@@ -206,13 +226,13 @@ def _curve(means: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[float, f
     return (float(max(w[0], 1e-3)), float(w[1]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = 40_000) -> list[tuple[str, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> list[tuple[str, int]]:
     """A bounded sample of labelled texts (of at most `longest` characters) outside the held-out fold, chosen by the id's hash."""
     usable = labels.filter(F.col("quality").isNotNull() & (hash_part("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = max(1, usable.count())
     chosen = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 40)) < min(1 << 40, (sample << 40) // n))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.char_length("text") <= longest).join(F.broadcast(chosen), "doc_id")  # about `sample` rows
-    return [(r["text"], int(r["quality"])) for r in rows.select("text", "quality", "doc_id").sort("doc_id", "text").collect()]
+    return sorted((r["text"], int(r["quality"])) for r in rows.select("text", "quality").collect())
 
 
 def score_documents(docs: DataFrame, field: LineField, threshold: float = 0.3) -> DataFrame:
