@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -160,21 +161,39 @@ def default_temporal(x: Column, kind: str) -> Formatted:
     return Formatted(canonical | other.isNotNull(), F.when(canonical, x).otherwise(other))
 
 
+def _boolean(x: Column, d: Datatype) -> Formatted:
+    return boolean_format(x, d.format)
+
+
+def _number(x: Column, d: Datatype) -> Formatted:
+    return number_format(x, d.format if isinstance(d.format, NumericFormat) else NumericFormat(pattern=d.format), d.base)
+
+
+def _temporal(x: Column, d: Datatype) -> Formatted:
+    return temporal_format(x, d.format, REGISTRY[d.base].kind)
+
+
+def _expression(x: Column, d: Datatype) -> Formatted:
+    return Formatted(x.rlike(f"^(?:{d.format})$"), x)
+
+
+#: How a format is compiled, by kind of datatype; other kinds take a regular expression.
+BUILDERS: dict[str, Callable[[Column, Datatype], Formatted]] = {"boolean": _boolean, "numeric": _number, "date": _temporal, "time": _temporal, "dateTime": _temporal}
+
+
+def register_format(kind: str, builder: Callable[[Column, Datatype], Formatted]) -> None:
+    """Compiles the formats of a kind of datatype with another builder."""
+    BUILDERS[kind] = builder
+
+
 def compile_format(x: Column, datatype: Datatype) -> Formatted:
     """Validity and canonical text of x under a datatype and its format."""
     info = REGISTRY[datatype.base]
-    fmt = datatype.format
-    if fmt is None:
-        if datatype.base in ("date", "dateTime", "datetime"):
-            return default_temporal(x, info.kind)
-        return Formatted(lexically_valid(datatype.base, x), x)
-    if info.kind == "boolean":
-        return boolean_format(x, fmt)
-    if info.kind == "numeric":
-        return number_format(x, fmt if isinstance(fmt, NumericFormat) else NumericFormat(pattern=fmt), datatype.base)
-    if info.kind in ("date", "time", "dateTime"):
-        return temporal_format(x, fmt, info.kind)
-    return Formatted(x.rlike(f"^(?:{fmt})$"), x)  # a regular expression
+    if datatype.format is not None:
+        return BUILDERS.get(info.kind, _expression)(x, datatype)
+    if datatype.base in ("date", "dateTime", "datetime"):
+        return default_temporal(x, info.kind)
+    return Formatted(lexically_valid(datatype.base, x), x)
 
 
 def keeps_text(datatype: Datatype) -> bool:

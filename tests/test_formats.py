@@ -74,3 +74,15 @@ def test_numbers(spark, fmt, base, vectors):
 def test_bad_number_patterns(pattern):
     with pytest.raises(FormatError):
         number_regex(NumericFormat(pattern))
+
+
+def test_registered_formats_and_datatypes(spark):
+    from loomtable.functions import datatypes, formats
+    from loomtable.plans.model import Datatype
+
+    datatypes.register("colour", "http://example.org/colour", kind="colour")
+    formats.register_format("colour", lambda x, d: formats.Formatted(x.startswith(d.format), F.upper(x)))
+    try:
+        check(spark, lambda x: formats.compile_format(x, Datatype("colour", format="#")), [("#ab", "#AB"), ("ab", None)])
+    finally:
+        del datatypes.REGISTRY["colour"], formats.BUILDERS["colour"]
