@@ -31,13 +31,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, byte_view, settle, text_slices
+from .common import byte_view, settle, text_slices
 from .shingles import mix
 
 MIN_LENGTH = 400
 GRAMS = (128, 336, 392, 400)
 #: Different fragments of an anchor that one task takes, and bytes that it sorts at once.
-HOT, SORTED = 4096, 3 << 20
+HOT, SORTED = 2048, 3 << 19
+#: Bytes of text that are cut into runs at once; hashes and their minima take about a hundred times as much.
+CUT = 1 << 20
 _PLACE = 24
 
 
@@ -97,7 +99,7 @@ def anchor_runs(raw: np.ndarray, offsets: np.ndarray, gram: int, length: int = M
     return hashes[place[starts]], starts, np.minimum(stops, ends) - starts
 
 
-def _chunks(raw: np.ndarray, offsets: np.ndarray, length: int, limit: int = 2 * SLICE_BYTES):
+def _chunks(raw: np.ndarray, offsets: np.ndarray, length: int, limit: int = CUT):
     """A single text longer than the limit in parts that overlap by a window less one; (bytes, offsets, text, base)."""
     if len(raw) <= limit:
         yield raw, offsets, None, 0
@@ -195,7 +197,7 @@ def _run_rows(units: DataFrame, gram: int, length: int) -> DataFrame:
     schema = "anchor long, frag long, doc_id long, tag long, base long, start long, n int"
 
     def run(batches):
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=CUT):
             raw, offsets = byte_view_binary(batch)
             for part, cuts, text, shift in _chunks(raw, offsets, length):
                 anchors, starts, n = anchor_runs(part, cuts, gram, length)
@@ -276,7 +278,8 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int,
     for level, gram in enumerate(grams):
         runs = settle(_run_rows(units, gram, length))
         twice = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("total"), (F.min("frag") != F.max("frag")).alias("several")).filter("total > 1").select("anchor", "several")
-        runs = settle(runs.join(twice, "anchor"))
+        # Settled, so that the join deals both sides itself and may split an anchor that many documents have.
+        runs = settle(runs.join(settle(twice), "anchor"))
         kinds = runs.groupBy("anchor", "frag").agg(F.count(F.lit(1)).alias("times"), F.first("several").alias("several"), F.min(F.struct("doc_id", "tag", "base", "start", "n")).alias("one"))
         kinds = settle(kinds)
         whole = runs.join(kinds.filter("times > 1").select("anchor", "frag"), ["anchor", "frag"])

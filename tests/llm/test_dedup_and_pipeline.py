@@ -167,7 +167,7 @@ def test_runs_cover_every_window_once():
             assert len(anchors) == len(starts)
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
+@pytest.mark.parametrize("hot", [2048, 1])
 def test_repeats(docs, rows, empty, hot):
     want = brute_repeats([r[1] for r in rows], 400)
     got = repeats.removed_digests(docs, hot=hot).collect()
@@ -184,7 +184,7 @@ def test_repeats(docs, rows, empty, hot):
 
 
 def test_long_texts_in_chunks(monkeypatch, spark):
-    monkeypatch.setattr(repeats, "SLICE_BYTES", 1 << 11)
+    monkeypatch.setattr(repeats, "CUT", 1 << 11)
     rng = random.Random(6)
     part = prose(rng, 400)
     texts = [prose(rng, 1500) + part + prose(rng, 1500), prose(rng, 20) + part, part[100:] + prose(rng, 9)]
