@@ -10,7 +10,7 @@
    with the probability of their weighted Jaccard similarity. BANDS bands of samples give buckets.
 4. Members of a bucket meet in blocks of at most BLOCK texts, dealt by hash, whatever the bucket's
    size. In a block every member is compared with all others by samples; the heaviest spanning forest
-   and each member's two nearest go on as candidates, never all pairs. The most central member of each
+   and each member's nearest go on as candidates, never all pairs. The most central member of each
    cluster of a block stands for it in the next level, until one block is left.
 5. Candidates are verified: the weighted Jaccard similarity of the two whole texts is computed, and
    0.8 or more is a link. Connected components of links are the classes.
@@ -37,9 +37,11 @@ SAMPLES = BANDS * ROWS
 #: Share of equal samples from which a pair goes to verification: more than three deviations below 0.8.
 LIKELY = 0.6
 BLOCK = 256
+#: Nearest members that each member of a block is verified with, besides the forest.
+NEAREST = 4
 #: Counters of the frequency sketch, and rows in which a task sends them.
 WIDTH, PARTS = 1 << 18, 64
-DAMP, RARE = 0.25, 0.002
+DAMP, RARE = 0.1, 0.002
 #: Entries of the tables of random variables.
 TABLE = 1 << 13
 
@@ -186,9 +188,9 @@ def equal_samples(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same
 
 
-def two_nearest(same: np.ndarray) -> set[tuple[int, int]]:
+def nearest(same: np.ndarray) -> set[tuple[int, int]]:
     pairs: set[tuple[int, int]] = set()
-    for _ in range(2):
+    for _ in range(NEAREST):
         near = same.argmax(axis=1)
         pairs.update((i, j) for i, j in enumerate(near.tolist()) if same[i, j])
         same = same.copy()
@@ -199,13 +201,13 @@ def two_nearest(same: np.ndarray) -> set[tuple[int, int]]:
 def block_links(samples: np.ndarray) -> tuple[set[tuple[int, int]], list[int], list[int]]:
     """Candidate pairs of a block, the most central member of each cluster, and the members without a pair.
 
-    The pairs are the heaviest spanning forest (Prim's way) over likely similar members, and the two
+    The pairs are the heaviest spanning forest (Prim's way) over likely similar members, and the
     nearest of every member.
     """
     n = len(samples)
     same = equal_samples(samples, samples)
     np.fill_diagonal(same, 0)
-    pairs = {(min(p), max(p)) for p in two_nearest(same)}
+    pairs = {(min(p), max(p)) for p in nearest(same)}
     centre = same.sum(axis=1, dtype=np.int64)
     free, centres = centre > 0, []
     while free.any():
@@ -314,7 +316,7 @@ def _against_all(alone: DataFrame, dealt: DataFrame, sizes: DataFrame, texts: Da
             mine = np.array([r[4] for r in members], np.int32)
             same = equal_samples(np.array([r[4] for r in asking], np.int32), mine)
             same[np.array([[q[3] == m[3] for m in members] for q in asking])] = 0
-            pairs = {tuple(sorted((asking[i][3], members[j][3]))) for i, j in two_nearest(same)}
+            pairs = {tuple(sorted((asking[i][3], members[j][3]))) for i, j in nearest(same)}
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
         key = None
