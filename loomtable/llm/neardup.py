@@ -13,7 +13,10 @@
    and each member's nearest go on as candidates, never all pairs. The most central member of each
    cluster of a block stands for it in the next level, until one block is left.
 5. Candidates are verified: the weighted Jaccard similarity of the two whole texts is computed, and
-   0.8 or more is a link. Connected components of links are the classes.
+   0.8 or more is a link.
+6. What is left: in each bucket whose members are not all joined by links, every block meets every
+   other. Likely similar members that no link joins yet are compared by their whole texts, all pairs of
+   them, and links that join two classes are kept. Connected components of links are the classes.
 
 A null text is an empty one. Texts without words are linked only to exact copies. Null ids form
 classes like others; repeated rows get the same class.
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, settle, text_slices, texts_of
 from .components import connected_components
-from .shingles import shingle_sets
+from .shingles import mix, shingle_sets
 
 SIMILAR = 0.8
 #: 12 bands of 4 samples: a pair at 0.8 shares a band with probability 0.998.
@@ -233,15 +236,21 @@ PAIR, CENTRE, ALONE = 0, 1, 2
 _LEVEL = "a binary, b binary, bucket long, kind int"
 
 
-def candidates(texts: DataFrame) -> DataFrame:
+def shared_buckets(texts: DataFrame) -> DataFrame:
+    """(digest, bucket) of all buckets with two members or more."""
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("samples", i * ROWS + 1, ROWS)))
+    members = texts.filter(F.size("samples") > 0).select("digest", F.explode(bands).alias("bucket"))
+    return settle(members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "bucket").select("digest", "bucket"))
+
+
+def candidates(texts: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """(a, b) digests of distinct texts (digest, samples) to be verified, a < b.
 
     Centres of clusters meet again, level by level, until a bucket has one block; they halve each time
     at least. A member that has no pair in its block, where its bucket has several, is compared with
     all the others of the bucket, block by block.
     """
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("samples", i * ROWS + 1, ROWS)))
-    members = texts.filter(F.size("samples") > 0).select("digest", F.explode(bands).alias("bucket"))
+    members = shared_buckets(texts) if members is None else members
     found: list[DataFrame] = []
     while True:
         sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -385,6 +394,133 @@ def verified_links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, idf: np.n
     return texts.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a binary, b binary, similarity double")
 
 
+# --- links that join what is left
+
+
+def unjoined(texts: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, p, q, block, digest, label) of members that are likely similar to one of another label.
+
+    p and q are the two blocks that meet. Members of the label that a bucket has most of need not meet
+    one another, so only the others are sent to every block. A pair is looked at in the first band it
+    shares.
+    """
+    labelled = members.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    counts = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").filter(F.col("size") > BLOCK // 2)
+    one = F.col("size") <= BLOCK
+    sizes = sizes.select("bucket", F.col("most.label").alias("main"), F.when(one, F.lit(1)).otherwise(F.ceil((F.col("size") - F.col("most.n")) / BLOCK)).alias("others"), F.when(one, F.lit(0)).otherwise(F.ceil(F.col("most.n") / BLOCK)).alias("mains"))
+    dealt = labelled.join(sizes, "bucket").withColumn("is_main", (F.col("label") == F.col("main")) & (F.col("mains") > 0))
+    deal = F.xxhash64("digest")
+    dealt = dealt.withColumn("block", F.when(F.col("is_main"), F.col("others") + F.pmod(deal, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(deal, F.col("others"))))
+    meets = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("is_main"), F.col("others")).otherwise(F.col("others") + F.col("mains")).cast("long") - 1)).alias("other")
+    pairs = dealt.select("bucket", "digest", "label", F.col("block").cast("long").alias("block"), meets)
+    pairs = pairs.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "digest", "label").join(texts, "digest").select("bucket", "p", "q", "block", "digest", "label", "samples")
+
+    def run(batches):
+        out: list[tuple] = []
+        for rows in _groups(batches, 3):
+            far = _foreign(rows)
+            if far.any():
+                samples = np.array([r[6] for r in rows], np.int32)
+                far &= equal_samples(samples, samples) > 0
+                bands = samples.reshape(len(rows), BANDS, ROWS)
+                mine = np.flatnonzero((bands == bands[:1]).all(axis=(0, 2)))
+                for k in range(mine[0] if len(mine) else 0):
+                    far &= ~(bands[:, None, k] == bands[None, :, k]).all(axis=2)
+                out += [rows[i][:6] for i in np.flatnonzero(far.any(axis=1))]
+            if len(out) > 10_000:
+                yield _rows_batch(out)
+                out = []
+        if out:
+            yield _rows_batch(out)
+
+    def _rows_batch(rows):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "p", "q", "block", "digest", "label"])
+
+    return pairs.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(run, "bucket long, p long, q long, block long, digest binary, label binary")
+
+
+def _foreign(rows: list[tuple]) -> np.ndarray:
+    """Which pairs of rows (bucket, p, q, block, digest, label, ..) are to be compared: of other labels, and of both blocks if two meet."""
+    label = np.unique([r[5].hex() for r in rows], return_inverse=True)[1]
+    far = label[:, None] != label[None, :]
+    if rows[0][1] != rows[0][2]:
+        block = np.array([r[3] for r in rows])
+        far &= block[:, None] != block[None, :]
+    return far
+
+
+def all_similarities(sets: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of all pairs, to single precision: a shingle that occurs k times is k features."""
+    n = len(sets)
+    keys = np.concatenate([np.repeat(s, c) for s, c in sets])
+    turn = np.concatenate([np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for _, c in sets])
+    row = np.repeat(np.arange(n), [int(c.sum()) for _, c in sets])
+    weight = idf[(keys >> np.uint64(46)).astype(np.int64)]
+    total = np.bincount(row, weights=weight, minlength=n)
+    _, column, often = np.unique(keys ^ np.where(turn > 0, mix(turn.astype(np.uint64)), np.uint64(0)), return_inverse=True, return_counts=True)
+    shared = often > 1
+    row, weight, column = row[shared[column]], weight[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, weight, column = row[order], np.sqrt(weight[order]), column[order]
+    low, width = np.zeros((n, n), np.float64), max(1, (1 << 22) // n)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (at, at + width))
+        part = np.zeros((n, min(width, int(column[-1]) + 1 - at)), np.float32)
+        part[row[a:b], column[a:b] - at] = weight[a:b]
+        low += part @ part.T
+    high = total[:, None] + total[None, :] - low
+    return np.divide(low, high, out=np.zeros_like(low), where=high > 0)
+
+
+def joins_of(rows: list[tuple], sets: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, similar: float) -> list[tuple]:
+    """(a, b, similarity, label of a, label of b) of links that join the labels of rows, as far as links can."""
+    score = np.where(np.triu(_foreign(rows)), all_similarities(sets, idf), 0)
+    first, second = np.nonzero(score >= similar - 1e-3)
+    root = {r[5]: r[5] for r in rows}
+
+    def top(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for k in np.argsort(-score[first, second], kind="stable"):
+        i, j = int(first[k]), int(second[k])
+        a, b = top(rows[i][5]), top(rows[j][5])
+        if a != b and (s := weighted_jaccard(sets[i], sets[j], idf)) >= similar:
+            root[a] = b
+            (a, la), (b, lb) = sorted(((rows[i][4], rows[i][5]), (rows[j][4], rows[j][5])))
+            out.append((a, b, s, la, lb))
+    return out
+
+
+def joining_links(left: DataFrame, docs: DataFrame, reps: DataFrame, idf: np.ndarray, similar: float = SIMILAR) -> DataFrame:
+    """(a, b, similarity, la, lb): links between texts of different labels among the rows of unjoined()."""
+    wanted = left.join(reps.select("digest", "rep_id"), "digest")
+    source = docs.select("doc_id", digest_of().alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = source.join(wanted, (source.digest == wanted.digest) & source.doc_id.eqNullSafe(wanted.rep_id)).select("bucket", "p", "q", "block", wanted.digest.alias("digest"), "label", "text")
+
+    def compare(batches):
+        for rows in _groups(text_slices(batches), 3):
+            rows = list({r[4]: r for r in rows}.values())  # repeated rows bring a text again
+            found = joins_of(rows, shingle_sets([r[6] for r in rows]), idf, similar)
+            if found:
+                kinds = (pa.binary(), pa.binary(), pa.float64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], ["a", "b", "similarity", "la", "lb"])
+
+    joined = texts.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(compare, "a binary, b binary, similarity double, la binary, lb binary")
+    return joined.dropDuplicates(["a", "b"])
+
+
+def joined_labels(labels: DataFrame, joins: DataFrame) -> DataFrame:
+    """labels after joins (la, lb) between them; a text without a label is its own."""
+    roots = connected_components(joins.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    moved = labels.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    return moved.union(roots.join(labels, "node", "left_anti").select("node", "label"))
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, digest, class_id, class_size, copies, n_links, kept) of every document.
 
@@ -394,9 +530,15 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     idf = damped_idf(*frequencies(docs))
     rows = settle(signatures(docs, idf))
     texts = settle(rows.groupBy("digest").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies"), F.first("samples").alias("samples")))
-    pairs = settle(candidates(texts.select("digest", "samples")))
-    links = settle(verified_links(pairs, docs, texts, idf, similar))
+    signed = texts.select("digest", "samples")
+    members = shared_buckets(signed)
+    links = settle(verified_links(settle(candidates(signed, members)), docs, texts, idf, similar))
     labels = connected_components(links)
+    left = settle(unjoined(signed, members, labels))
+    if left.take(1):
+        joins = settle(joining_links(left, docs, texts, idf, similar))
+        labels = settle(joined_labels(labels, joins))
+        links = links.union(joins.select("a", "b", "similarity"))
     degree = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n_links"))
     linked = texts.select("digest", "rep_id", "copies").join(labels.withColumnRenamed("node", "digest"), "digest", "left").join(degree, "digest", "left")
     linked = linked.withColumn("label", F.coalesce("label", "digest"))

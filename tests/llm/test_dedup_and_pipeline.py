@@ -126,6 +126,42 @@ def test_members_without_a_neighbour_meet_all_others(spark, monkeypatch):
     assert pairs == {tuple(sorted((sha256(bytes([0])).digest()[:16], sha256(bytes([39])).digest()[:16])))}
 
 
+def replaced(rng, text, count):
+    """text with `count` words replaced."""
+    words = text.split()
+    for k in rng.sample(range(len(words)), count):
+        words[k] = "y" + str(rng.randint(0, 9999))
+    return " ".join(words)
+
+
+def wrongly_classed(spark, texts):
+    """How many texts have another class than by brute force over all pairs."""
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(frame).collect()}
+    want = classes_of(texts, neardup.damped_idf(*neardup.frequencies(frame)))
+    least = {}
+    for i, c in enumerate(want):
+        least.setdefault(c, i)
+    return sum(got[i] != least[c] for i, c in enumerate(want))
+
+
+def test_a_hub_and_copies_similar_only_to_it(spark, monkeypatch):
+    """Independently edited copies in many blocks, joined by their original alone."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(31)
+    original = " ".join(prose(rng, 300).split())
+    assert wrongly_classed(spark, [original] + [replaced(rng, original, 6) for _ in range(250)]) == 0
+
+
+def test_similarities_of_all_pairs(rows):
+    idf = neardup.damped_idf(np.arange(neardup.WIDTH, dtype=np.int64), neardup.WIDTH)
+    sets = [s for s in shingle_sets([r[1] or "" for r in rows]) if len(s[0])]
+    got = neardup.all_similarities(sets, idf)
+    for i in range(0, len(sets), 3):
+        for j in range(i):
+            assert abs(got[i, j] - neardup.weighted_jaccard(sets[i], sets[j], idf)) < 1e-4
+
+
 # --- repeated strings
 
 
