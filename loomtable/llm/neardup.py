@@ -406,7 +406,7 @@ def unjoined(texts: DataFrame, members: DataFrame, labels: DataFrame) -> DataFra
     """
     labelled = members.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     counts = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").filter(F.col("size") > BLOCK // 2)
+    sizes = counts.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     one = F.col("size") <= BLOCK
     sizes = sizes.select("bucket", F.col("most.label").alias("main"), F.when(one, F.lit(1)).otherwise(F.ceil((F.col("size") - F.col("most.n")) / BLOCK)).alias("others"), F.when(one, F.lit(0)).otherwise(F.ceil(F.col("most.n") / BLOCK)).alias("mains"))
     dealt = labelled.join(sizes, "bucket").withColumn("is_main", (F.col("label") == F.col("main")) & (F.col("mains") > 0))
@@ -525,7 +525,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, digest, class_id, class_size, copies, n_links, kept) of every document.
 
     class_id: the least id of the class; copies: rows with this very text; n_links: verified links of
-    the text to other texts; kept: the document that stays of its class.
+    the text to other texts, not those of pairs whose ends others had joined before they were verified; kept: the document that stays of its class.
     """
     idf = damped_idf(*frequencies(docs))
     rows = settle(signatures(docs, idf))

@@ -153,6 +153,13 @@ def test_a_hub_and_copies_similar_only_to_it(spark, monkeypatch):
     assert wrongly_classed(spark, [original] + [replaced(rng, original, 6) for _ in range(250)]) == 0
 
 
+def test_edited_copies_without_their_original(spark):
+    """Copies near the threshold in a single block: every pair at 0.8 joins its texts."""
+    rng = random.Random(41)
+    original = " ".join(prose(rng, 300).split())
+    assert wrongly_classed(spark, [replaced(rng, original, 4) for _ in range(100)]) == 0
+
+
 def test_similarities_of_all_pairs(rows):
     idf = neardup.damped_idf(np.arange(neardup.WIDTH, dtype=np.int64), neardup.WIDTH)
     sets = [s for s in shingle_sets([r[1] or "" for r in rows]) if len(s[0])]
