@@ -247,8 +247,8 @@ def candidates(texts: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """(a, b) digests of distinct texts (digest, samples) to be verified, a < b.
 
     Centres of clusters meet again, level by level, until a bucket has one block; they halve each time
-    at least. A member that has no pair in its block, where its bucket has several, is compared with
-    all the others of the bucket, block by block.
+    at least. At every level, a member that has no pair in its block, where its bucket has several, is
+    compared with all the others of the level, block by block.
     """
     members = shared_buckets(texts) if members is None else members
     found: list[DataFrame] = []
@@ -262,7 +262,7 @@ def candidates(texts: DataFrame, members: DataFrame | None = None) -> DataFrame:
         level = settle(blocks.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "digest").mapInArrow(_in_blocks, _LEVEL))
         found.append(level.filter(F.col("kind") == PAIR).select("a", "b"))
         alone = level.filter(F.col("kind") == ALONE)
-        if len(found) == 1 and alone.take(1):
+        if alone.take(1):
             found.append(settle(_against_all(alone.select(F.col("a").alias("digest"), "bucket"), dealt, sizes, texts)))
         members = level.filter(F.col("kind") == CENTRE).select(F.col("a").alias("digest"), "bucket")
         if not members.take(1):

@@ -6,6 +6,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from loomtable.llm import components, neardup, packing, quality, repeats, rules
@@ -169,6 +170,31 @@ def test_similarities_of_all_pairs(rows):
             assert abs(got[i, j] - neardup.weighted_jaccard(sets[i], sets[j], idf)) < 1e-4
 
 
+def test_centres_without_a_partner_in_their_block(spark, monkeypatch):
+    """Families of one bucket, two texts in each of two blocks that do not nest: their centres meet."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    free = defaultdict(list)
+    for k in range(400):
+        digest = sha256(bytes([k % 256, k // 256])).digest()[:16]
+        free[xxhash.xxh64_intdigest(digest, seed=42) >> 62].append(digest)
+    rows, family = [], {}
+    for k in range(8):
+        base = rng.integers(0, 1 << 30, neardup.SAMPLES)
+        base[:4] = 5
+        for block in (0, 0, 3, 3) if k % 2 else (1, 1, 2, 2):
+            mine = base.copy()
+            mine[7::4] = rng.integers(0, 1 << 30, neardup.BANDS - 1)  # no second band is shared
+            digest = free[block].pop()
+            rows.append((bytearray(digest), mine.tolist()))
+            family[digest] = k
+    frame = spark.createDataFrame(rows, "digest binary, samples array<int>")
+    pairs = neardup.candidates(frame)
+    assert all(family[bytes(r["a"])] == family[bytes(r["b"])] for r in pairs.collect())
+    label = {bytes(r["node"]): bytes(r["label"]) for r in components.connected_components(pairs).collect()}
+    assert len(label) == 32 and len(set(label.values())) == 8
+
+
 # --- repeated strings
 
 
