@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomtable.llm import neardup, packing, quality, repeats, rules
 from loomtable.llm.common import ensure_checkpoint_dir, load
-from loomtable.llm.queries import BYTE_BPE
+from loomtable.llm.queries import BYTE_BPE, BYTE_BPE_FILE
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in training sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+    return packing.pack_documents(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, added=packing.added_tokens(public_tokenizers.path(BYTE_BPE_FILE)))
 
 
 STAGES = [("quality", good_quality), ("rules", pass_rules), ("near_duplicates", one_of_each), ("repeats", cut_repeats), ("packing", packed)]

@@ -19,6 +19,8 @@ and look up their run. No task holds a length, and no row but the histogram reac
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from dataclasses import dataclass, field
 
@@ -39,19 +41,34 @@ def cut_starts(n: int, capacity: int) -> list[int]:
     return [0, *range(first, n, capacity)]
 
 
-def tokenised_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, end_id: int = 0) -> DataFrame:
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file and their ids."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
+def tokenised_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, end_id: int = 0, added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece of every document; a null or empty text is the end id alone.
 
     The rank file and the tokenizer file of a vocabulary give the same ids; the rank file is read, as
-    its encoder is several times faster.
+    its encoder is several times faster. It has no added tokens: texts are cut at the strings of
+    `added`, which get their ids, and what is between them is encoded by itself.
     """
+    added = added or {}
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+    def encoded(c, text: str) -> bytes:
+        if cut is None or not cut.search(text):
+            return c.encode_packed(text)
+        # split() gives the texts between at even places, the added tokens at odd ones.
+        return b"".join(np.array([added[part]], "<u4").tobytes() if k % 2 else bytes(c.encode_packed(part)) for k, part in enumerate(cut.split(text)))
 
     def work(batch: pa.RecordBatch) -> dict:
         c = codec(ranks_path, pattern)
         end = np.array([end_id], "<u4").tobytes()
         rows: tuple[list, ...] = ([], [], [], [], [])
         for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-            packed = memoryview(c.encode_packed(text) + end)
+            packed = memoryview(encoded(c, text) + end)
             n = len(packed) // 4
             starts = cut_starts(n, capacity)
             for k, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
@@ -253,12 +270,12 @@ def assign(pieces: DataFrame, plan: Plan, buckets: int) -> DataFrame:
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank").mapInArrow(look_up, PIECES + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, groups: int = 64) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, groups: int = 64, added: dict[str, int] | None = None) -> DataFrame:
     """Packs the texts of docs (doc_id, text; further columns are ignored). An empty table gives an empty result.
 
     Null and empty texts are one end id; null ids stay null; repeated rows are packed each.
     """
-    pieces = settle(tokenised_pieces(docs, ranks_path, pattern, capacity, end_id))
+    pieces = settle(tokenised_pieces(docs, ranks_path, pattern, capacity, end_id, added))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     buckets = 4 * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pieces.rdd.getNumPartitions())
     return assign(pieces, plan_packing(histogram, capacity, groups), buckets)

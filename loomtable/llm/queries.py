@@ -14,11 +14,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Vocabularies by name; every executor has the installed files.
 BYTE_BPE, BYTE_BPE_MULTI = "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"
+#: The tokenizer file of BYTE_BPE, for its added tokens.
+BYTE_BPE_FILE = "byte_bpe_50k.json"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    return packing.pack_documents(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+    return packing.pack_documents(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, added=packing.added_tokens(public_tokenizers.path(BYTE_BPE_FILE)))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

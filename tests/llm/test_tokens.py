@@ -87,6 +87,18 @@ def test_packing(docs, rows, empty, capacity):
     assert packing.pack_documents(empty, RANKS, PATTERN, capacity).count() == 0
 
 
+def test_added_tokens_get_the_tokenizers_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(queries.BYTE_BPE_FILE)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext| >", " <|endoftext|>'s"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = packing.pack_documents(frame, RANKS, PATTERN, added=packing.added_tokens(path)).collect()
+    plain = Tokenizer.from_file(path)
+    want = {k: np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4") for k, t in enumerate(texts)}
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got} == {k: (len(v), zlib.crc32(v.tobytes())) for k, v in want.items()}
+
+
 def test_cuts():
     assert packing.cut_starts(5, 8) == [0] and packing.cut_starts(8, 8) == [0] and packing.cut_starts(16, 8) == [0, 8] and packing.cut_starts(19, 8) == [0, 3, 11]
 
