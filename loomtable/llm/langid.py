@@ -143,14 +143,17 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> list[tuple[str, str]]:
-    """A bounded sample (lang, text): about per_language rows for each language, chosen by the id's hash, of at most `longest` characters."""
-    rows = docs.filter(F.col("lang").isNotNull() & (F.char_length("text") <= longest) & (F.char_length("text") > 0))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
+    """A bounded sample (lang, text): about per_language rows for each language, chosen by the id's hash, of at most `longest` characters.
+
+    A language without a text as short as that is learnt from the first `longest` characters of its long ones.
+    """
+    rows = docs.filter(F.col("lang").isNotNull() & (F.char_length("text") > 0)).withColumn("short", F.char_length("text") <= longest)
+    counts = {r["lang"]: (r["shorts"], r["n"]) for r in rows.groupBy("lang").agg(F.count_if("short").alias("shorts"), F.count(F.lit(1)).alias("n")).collect()}  # one row for each language
     chance = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 40))
     rate = F.lit(0)
-    for lang, n in sorted(counts.items()):
-        rate = F.when(F.col("lang") == lang, F.lit(min(1 << 40, (per_language << 40) // n))).otherwise(rate)
-    return sorted((r["lang"], r["text"]) for r in rows.filter(chance < rate).select("lang", "text").collect())
+    for lang, (shorts, n) in sorted(counts.items()):
+        rate = F.when((F.col("lang") == lang) & (F.col("short") if shorts else F.lit(True)), F.lit(min(1 << 40, (per_language << 40) // (shorts or n)))).otherwise(rate)
+    return sorted((r["lang"], r["text"]) for r in rows.filter(chance < rate).select("lang", F.substring("text", 1, longest).alias("text")).collect())
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

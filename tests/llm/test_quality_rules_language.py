@@ -206,3 +206,9 @@ def test_prediction(spark, docs, rows, empty, per_language):
     assert langid.predict(empty, model).count() == 0
     nothing = langid.LanguageModel.learn(langid.training_rows(empty))
     assert {r["lang_pred"] for r in langid.predict(docs, nothing).collect()} == {"und"}
+
+
+def test_a_language_of_long_texts_alone_is_learnt(spark):
+    texts = [("aa", "short one"), ("aa", "long " * 30), ("bb", "only long " * 30), (None, "no language"), ("cc", "")]
+    frame = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "doc_id long, lang string, text string")
+    assert langid.training_rows(frame, longest=20) == [("aa", "short one"), ("bb", ("only long " * 30)[:20])]
