@@ -59,7 +59,7 @@ def wav(data: bytes, tag: int, rate: int = RATE, bits: int = 8, block: int | Non
     align = block or bits // 8
     per_second = rate * align if not samples_per_block else rate * align // samples_per_block
     fmt = struct.pack("<HHIIHH", tag, 1, rate, per_second, align, bits)
-    n = len(data) // align * samples_per_block if samples_per_block else len(data) // align
+    n = len(data) // align * samples_per_block + max(0, (len(data) % align - 4) * 2 + 1) if samples_per_block else len(data) // align
     if tag == IMA_ADPCM:
         fmt += struct.pack("<HH", 2, samples_per_block)
     elif tag != PCM:
@@ -72,7 +72,7 @@ def wav(data: bytes, tag: int, rate: int = RATE, bits: int = 8, block: int | Non
 
 
 def read_wav(media: bytes) -> dict:
-    """tag, rate, bits, align, samples_per_block and data of a WAV file, by walking its chunks."""
+    """tag, rate, bits, align, samples_per_block, data and, if told, samples of a WAV file, by walking its chunks."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, out = 12, {"samples_per_block": 0}
@@ -82,6 +82,8 @@ def read_wav(media: bytes) -> dict:
             out["tag"], _, out["rate"], _, out["align"], out["bits"] = struct.unpack_from("<HHIIHH", media, at + 8)
             if out["tag"] == IMA_ADPCM:
                 out["samples_per_block"] = struct.unpack_from("<H", media, at + 26)[0]
+        elif kind == b"fact" and size >= 4:
+            out["samples"] = struct.unpack_from("<I", media, at + 8)[0]
         elif kind == b"data":
             out["data"] = media[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
@@ -89,8 +91,14 @@ def read_wav(media: bytes) -> dict:
 
 
 def decode_adpcm(data: bytes, block: int) -> np.ndarray:
-    """16-bit samples of mono IMA ADPCM blocks (4-byte head: first sample, step index). A cut last block is dropped."""
-    blocks = np.frombuffer(data, np.uint8)[: len(data) // block * block].reshape(-1, block)
+    """16-bit samples of mono IMA ADPCM blocks (4-byte head: first sample, step index).
+
+    A short last block gives its first sample and those of the codes it has; one cut in its head gives none.
+    """
+    rest = len(data) % block
+    n = len(data) // block * ((block - 4) * 2 + 1) + ((rest - 4) * 2 + 1 if rest >= 4 else 0)
+    data = data + b"\0" * (block - rest) if rest >= 4 else data[: len(data) - rest]
+    blocks = np.frombuffer(data, np.uint8).reshape(-1, block)
     if not blocks.size:
         return np.zeros(0, np.int16)
     value = blocks[:, :2].copy().view("<i2")[:, 0].astype(np.int64)
@@ -104,7 +112,7 @@ def decode_adpcm(data: bytes, block: int) -> np.ndarray:
         value = np.clip(value + np.where(code & 8, -move, move), -32768, 32767)
         index = np.clip(index + INDEX_MOVES[code], 0, len(STEPS) - 1)
         out[:, k + 1] = value
-    return out.reshape(-1)
+    return out.reshape(-1)[:n]
 
 
 def encode_adpcm(pcm: np.ndarray, block: int = 256) -> bytes:
@@ -138,7 +146,7 @@ def to_pcm(media: bytes) -> tuple[np.ndarray, int]:
     if w["tag"] in EXPAND:
         return EXPAND[w["tag"]][np.frombuffer(w["data"], np.uint8)], w["rate"]
     if w["tag"] == IMA_ADPCM:
-        return decode_adpcm(w["data"], w["align"]), w["rate"]
+        return decode_adpcm(w["data"], w["align"])[: w.get("samples") or None], w["rate"]
     if w["tag"] == PCM and w["bits"] == 16:
         return np.frombuffer(w["data"], "<i2"), w["rate"]
     raise ValueError(f"format {w['tag']} with {w['bits']} bits")

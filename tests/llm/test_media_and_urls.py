@@ -117,3 +117,17 @@ def test_the_model_learns_its_table_and_more():
     split = lambda u: (u.split("/")[2], "/" + u.split("/", 3)[3].split("?")[0].split("#")[0])
     assert all((model.score(*split(u)) >= 0.5) == bool(y) for u, y in rows)
     assert model.score("www.casino-bonus.example.org", "/it/9") > 0.5 > model.score("ththed.example.org", "/en/453")
+
+
+def test_a_short_last_block_of_adpcm():
+    tone = (9000 * np.sin(np.arange(1200) / 9)).astype(np.int16)
+    data = audio.encode_adpcm(tone)
+    whole = audio.decode_adpcm(data, 256)
+    for size in (515, 516, 517, 600, 767):
+        got = audio.decode_adpcm(data[:size], 256)
+        assert len(got) == 1010 + (2 * (size - 516) + 1 if size >= 516 else 0) and (got == whole[: len(got)]).all()
+    media = audio.wav(data[:600], audio.IMA_ADPCM, bits=4, block=256, samples_per_block=505)
+    assert len(audio.to_pcm(media)[0]) == 1179
+    at = media.index(b"fact") + 8
+    for told in (1010, 1100, 1178):
+        assert len(audio.to_pcm(media[:at] + told.to_bytes(4, "little") + media[at + 4 :])[0]) == told
