@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -17,8 +18,12 @@ def squeeze(x: Column, base: str) -> Column:
     kind = REGISTRY[base].white_space
     if kind == KEEP:
         return x
-    x = F.translate(x, "\r\n\t", "   ")
-    return F.regexp_replace(F.trim(x), r"\s+", " ") if kind == COLLAPSE else x
+    spaced = F.translate(x, "\r\n\t", "   ")
+    if kind != COLLAPSE:
+        return spaced
+    # Most cells have no white space but single spaces: those only need a trim.
+    rare = reduce(lambda a, b: a | b, [x.contains(c) for c in ("  ", "\t", "\n", "\v", "\f", "\r")])
+    return F.when(rare, F.regexp_replace(F.trim(spaced), r"\s+", " ")).otherwise(F.trim(x))
 
 
 def is_null(x: Column, nulls: tuple[str, ...]) -> Column:
@@ -29,11 +34,15 @@ def or_default(x: Column, default: str | None) -> Column:
     return F.when(x == "", F.lit(default)).otherwise(x)
 
 
-def scalar_value(raw: Column, props: dict[str, Any]) -> Column:
-    """The text of a cell, or null."""
+def scalar_value(raw: Column, props: dict[str, Any], bare: bool = False) -> Column:
+    """The text of a cell, or null. bare: the text of a number or date, which has no white space."""
     datatype: Datatype = props["datatype"]
-    x = or_default(squeeze(raw, datatype.base), props["default"])
-    return F.when(~is_null(x, props["null"]), x)
+    x = raw if bare else squeeze(raw, datatype.base)
+    if props["default"]:
+        x = or_default(x, props["default"])
+    for null in props["null"]:
+        x = F.nullif(x, F.lit(null))
+    return x
 
 
 def list_value(raw: Column, props: dict[str, Any]) -> Column:

@@ -33,8 +33,14 @@ def expressions(template: str) -> list[str]:
     return [v for e in _EXPRESSION.findall(template) for v in e.lstrip("#+").split(",")]
 
 
-def compile_template(template: str, lookup: Callable[[str], Column], base: str) -> Column:
-    """The IRI of a row. Forms: {a}, {a,b}, {+a}, {#a}. lookup gives a variable's text (null: unbound).
+def encoded(value: Column, form: str) -> Column:
+    """A variable's text as a template's form ("", "+" or "#") writes it; an empty one is unbound."""
+    value = F.nullif(value, F.lit(""))
+    return iri_safe(value) if form else percent_encoded(value)
+
+
+def compile_template(template: str, lookup: Callable[[str, str], Column], base: str) -> Column:
+    """The IRI of a row. Forms: {a}, {a,b}, {+a}, {#a}. lookup gives a variable's text, encoded for the form (null: unbound).
 
     Compact IRIs are expanded; relative ones are resolved against base, on the driver where the
     template's beginning settles it.
@@ -48,8 +54,7 @@ def compile_template(template: str, lookup: Callable[[str], Column], base: str)
         body = m[1]
         form = body[0] if body[0] in "#+" else ""
         names = body[len(form) :].split(",")
-        values = [F.nullif(lookup(n), F.lit("")) for n in names]
-        values = [iri_safe(v) if form else percent_encoded(v) for v in values]
+        values = [lookup(n, form) for n in names]
         if form == "#":
             parts.append(F.lit("#"))
         for k, v in enumerate(values):

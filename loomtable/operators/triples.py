@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cells
 from ..functions.datatypes import REGISTRY
-from ..functions.formats import compile_format, keeps_text
-from ..functions.template import compile_template
+from ..functions.formats import Formatted, compile_format, keeps_text
+from ..functions.template import compile_template, encoded, expressions
 from ..plans import model
 from ..plans.context import CSVW, RDF, XSD
 
@@ -40,25 +43,34 @@ def iri(value: Column | str) -> Node:
 class CompiledColumn:
     column: model.Column
     props: dict[str, Any]
-    #: scalar text, or null
+    #: normalised text of a cell, or null
     value: Column
+    #: its canonical text under the format, null where the format doesn't admit it
+    text: Column
     #: array of texts where the column has a separator
     values: Column | None
     subject: Node
     predicate: Column
 
 
+#: Names of columns that compiling adds to a frame.
+STAGED = "__loom_"
+
+
 class TableCompiler:
     """Compiles one table's description against a frame of raw strings.
 
-    The frame has a string column for each described column that isn't virtual, in order, and `_row`
-    and `_source_row` where templates, blank subjects or the annotated structure need row numbers.
+    The frame has a column for each described column that isn't virtual, in order, and `_row` and
+    `_source_row` where templates, blank subjects or the annotated structure need row numbers; columns
+    named in `aside` belong to neither. Every normalised cell, canonical text, encoded variable and
+    filled template is worked out once, as a named column of `staged`, in steps that each read the one
+    before; triples and errors only refer to them.
     """
 
-    def __init__(self, group: model.TableGroup, table: model.Table, frame: DataFrame, index: int = 0, string_datatype: bool = True):
+    def __init__(self, group: model.TableGroup, table: model.Table, frame: DataFrame, index: int = 0, string_datatype: bool = True, aside: tuple[str, ...] = ()):
         self.group, self.table, self.frame, self.index, self.string_datatype = group, table, frame, index, string_datatype
         self.dialect = model.dialect_of(group, table)
-        raw = [c for c in frame.columns if c not in ("_row", "_source_row")]
+        raw = [c for c in frame.columns if c not in ("_row", "_source_row", *aside)]
         columns = table.schema.columns
         if columns is None:  # the header supplies the names
             columns = [model.Column(n) for n in raw]
@@ -67,24 +79,64 @@ class TableCompiler:
         for k in range(len(real), len(raw)):  # fields beyond the description
             columns.insert(k, model.Column(f"_col.{k + 1}"))
         self.columns = columns
+        self._steps: list[dict[str, Column]] = [{}, {}, {}, {}]
         self.raw: dict[str, Column] = {}
+        #: columns whose values have neither white space nor characters that an IRI would escape
+        self._bare: set[str] = set()
+        kinds = {f.name: f.dataType for f in frame.schema.fields}
         source = iter(raw)
         for c in columns:
             if not c.virtual:
                 name = next(source, None)
                 self.raw[c.name] = F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")) if name is not None else F.lit(None).cast("string")
+                if name is not None and isinstance(kinds[name], T.IntegralType | T.DateType | T.BooleanType):
+                    self._bare.add(c.name)
         self.compiled = [self._compile(k, c) for k, c in enumerate(columns)]
 
+    # --- steps
+
+    def _step(self, k: int, name: str, make: Callable[[], Column]) -> Column:
+        """A named column of step k; steps refer to steps before them."""
+        if name not in self._steps[k]:
+            self._steps[k][name] = make()
+        return F.col(STAGED + name)
+
+    @property
+    def staged(self) -> DataFrame:
+        """The frame with what is worked out of it, a projection a step."""
+        out = self.frame
+        for step in self._steps:
+            if step:
+                out = out.select("*", *[x.alias(STAGED + name) for name, x in step.items()])
+        return out
+
     # --- expressions
 
     def _cell(self, column: model.Column, props: dict[str, Any]) -> Column:
-        raw = self.raw[column.name] if not column.virtual else F.lit(props["default"] or None).cast("string")
-        return cells.scalar_value(raw, props)
+        if column.virtual:
+            return cells.scalar_value(F.lit(props["default"] or None).cast("string"), props)
+        return self._step(0, f"cell_{self.columns.index(column)}", lambda: cells.scalar_value(self.raw[column.name], props, bare=column.name in self._bare))
+
+    def told(self, column: model.Column, props: dict[str, Any]) -> Formatted:
+        """Validity and canonical text of a column's cells."""
+        k = self.columns.index(column)
+        made: list[Formatted] = []
+
+        def once() -> Formatted:
+            if not made:
+                made.append(compile_format(self._cell(column, props), props["datatype"]))
+            return made[0]
+
+        return Formatted(self._step(1, f"valid_{k}", lambda: once().valid), self._step(1, f"canonical_{k}", lambda: once().text))
+
+    def _text(self, column: model.Column, props: dict[str, Any]) -> Column:
+        value = self._cell(column, props)
+        return value if keeps_text(props["datatype"]) or props["separator"] else self.told(column, props).value
 
     def lookup(self, number: int, name: str):
-        """Variables of a template in a given column: the numbers of rows and columns, or a cell's value."""
+        """Variables of a template in a given column, encoded: the numbers of rows and columns, or a cell's value."""
 
-        def find(variable: str) -> Column:
+        def find(variable: str, form: str) -> Column:
             if variable == "_row":
                 return F.col("_row").cast("string")
             if variable == "_sourceRow":
@@ -94,18 +146,29 @@ class TableCompiler:
             if variable == "_sourceColumn":
                 return F.lit(str(number + 1 + self.dialect.skip_columns))
             if variable == "_name":
-                return F.lit(name)
-            for c in self.columns:
+                return encoded(F.lit(name), form)
+            for k, c in enumerate(self.columns):
                 if c.name == variable:
                     props = model.effective(self.group, self.table, c)
-                    value = self._cell(c, props)
-                    return value if keeps_text(props["datatype"]) or props["separator"] else compile_format(value, props["datatype"]).value
+                    value = self._text(c, props)
+                    if variable in self._bare and not props["default"] and keeps_text(props["datatype"]):
+                        return value if "" in props["null"] else F.nullif(value, F.lit(""))
+                    return encoded(value, form) if c.virtual else self._step(2, f"variable_{k}_{'safe' if form else 'encoded'}", lambda: encoded(value, form))
             raise ValueError(f"a template names the column {variable!r}, which the table lacks")
 
         return find
 
     def _template(self, template: str, number: int, name: str) -> Column:
-        return compile_template(template, self.lookup(number, name), self.table.url)
+        names = expressions(template)
+        if not names:
+            return compile_template(template, self.lookup(number, name), self.table.url)
+        own = f"_{number}" if {"_column", "_sourceColumn", "_name"} & set(names) else ""
+        place = self._places.setdefault((template, own), len(self._places))
+        return self._step(3, f"iri_{place}", lambda: compile_template(template, self.lookup(number, name), self.table.url))
+
+    @cached_property
+    def _places(self) -> dict[tuple[str, str], int]:
+        return {}
 
     def _compile(self, number: int, column: model.Column) -> CompiledColumn:
         props = model.effective(self.group, self.table, column)
@@ -119,8 +182,8 @@ class TableCompiler:
             predicate = F.lit(f"{self.table.url}#{column.name}".replace(" ", "%20"))
         values = None
         if props["separator"] is not None and not column.virtual:
-            values = cells.list_value(self.raw[column.name], props)
-        return CompiledColumn(column, props, self._cell(column, props), values, subject, predicate)
+            values = self._step(0, f"list_{number}", lambda: cells.list_value(self.raw[column.name], props))
+        return CompiledColumn(column, props, self._cell(column, props), self._text(column, props), values, subject, predicate)
 
     @property
     def row_subject(self) -> Node:
@@ -138,13 +201,16 @@ class TableCompiler:
     def emitted(self) -> list[CompiledColumn]:
         return [c for c in self.compiled if not c.column.suppress_output]
 
-    def literal(self, c: CompiledColumn, value: Column) -> tuple[Column, str | None, str | None]:
-        """Text, datatype IRI and language of a value; null text where the format doesn't admit it."""
+    def literal(self, c: CompiledColumn, value: Column | None = None) -> tuple[Column, str | None, str | None]:
+        """Text, datatype IRI and language of a value (of the cell, if none is given); null text where the format doesn't admit it."""
         datatype: model.Datatype = c.props["datatype"]
         kind = datatype.id or REGISTRY[datatype.base].iri
         if kind == XSD + "string" and c.props["lang"]:
-            return value, None, c.props["lang"]
-        text = value if keeps_text(datatype) else compile_format(value, datatype).value
+            return c.value if value is None else value, None, c.props["lang"]
+        if value is None:
+            text = c.text
+        else:
+            text = value if keeps_text(datatype) else compile_format(value, datatype).value
         if kind == XSD + "string" and not self.string_datatype:
             return text, None, None
         return text, kind, None
@@ -165,7 +231,7 @@ class TableCompiler:
             elif c.values is not None:
                 many.append(F.transform(F.filter(c.values, lambda v: v.isNotNull()), self._element(c)))
             else:
-                text, kind, lang = self.literal(c, c.value)
+                text, kind, lang = self.literal(c)
                 single.append(triple(c.subject, c.predicate, Node(text, LITERAL), kind, lang))
         return single, many
 
@@ -226,7 +292,7 @@ class TableCompiler:
         if not arrays:
             return self.frame.sparkSession.createDataFrame([], SCHEMA)
         every = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
-        out = self.frame.select(F.explode(every).alias("t")).select("t.*")
+        out = self.staged.select(F.explode(every).alias("t")).select("t.*")
         return out.filter("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
@@ -10,23 +13,71 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import squeeze
 from ..functions.datatypes import REGISTRY
-from ..functions.formats import compile_format
+from ..functions.formats import Formatted, compile_format
 from ..plans import model
 from .triples import CompiledColumn, TableCompiler
 
 SCHEMA = "table string, row string, column string, kind string, value string"
 
 
-def _typed(x: Column, datatype: model.Datatype) -> Column:
-    """A value that compares as its datatype does."""
-    info = REGISTRY[datatype.base]
-    if info.kind == "numeric":
-        return x.try_cast("double" if info.spark in ("double", "float") else "decimal(38,10)")
-    return x.try_cast("timestamp") if info.kind in ("date", "dateTime") else x
-
-
-def _limit(value: Any, datatype: model.Datatype) -> Column:
-    return _typed(F.lit(str(value)), datatype)
+def _decimal_order(x: Column, limit: str) -> Column:
+    """-1, 0 or 1 as the decimal text x is below, at or above the limit, of any number of digits.
+
+    Doubles settle all but what rounds to the limit's double; there digits are compared.
+    """
+    sign, whole, part = _digits(limit)
+    near = x.try_cast("double")
+    point = F.lit(float(limit))
+    bare = F.regexp_replace(x, r"^[+-]", "")
+    digits = F.ltrim(F.substring_index(bare, ".", 1), F.lit("0"))
+    rest = F.when(bare.contains("."), F.rtrim(F.substring_index(bare, ".", -1), F.lit("0"))).otherwise(F.lit(""))
+    size = F.when(F.length(digits) != len(whole), F.sign(F.length(digits) - len(whole)).cast("int"))
+    for a, b in ((digits, whole), (rest, part)):
+        step = F.when(a < b, F.lit(-1)).when(a > b, F.lit(1))
+        size = F.coalesce(size, step)
+    size = F.coalesce(size, F.lit(0)) * (-1 if sign < 0 else 1)
+    nothing = (digits == "") & (rest == "")
+    exact = F.when(nothing, F.lit(-sign)).when(F.lit(sign == 0), F.when(x.startswith("-"), F.lit(-1)).otherwise(F.lit(1))).when(x.startswith("-") != F.lit(sign < 0), F.lit(-sign)).otherwise(size)
+    return F.when(near < point, F.lit(-1)).when(near > point, F.lit(1)).otherwise(exact)
+
+
+def _digits(text: str) -> tuple[int, str, str]:
+    """Sign, and digits before and after the point, of a decimal on the driver."""
+    number = Decimal(text)
+    plain = format(abs(number), "f")
+    whole, _, part = plain.partition(".")
+    return (number > 0) - (number < 0), whole.lstrip("0"), part.rstrip("0")
+
+
+#: Seconds of a day, and of the shortest and longest months.
+DAY, SHORT, LONG = 86_400, 28 * 86_400, 31 * 86_400
+_DURATION = r"^(-?)P(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
+
+
+def _duration_order(x: Column, limit: str) -> Column:
+    """-1 or 1 where a duration is below or above the limit whatever months it starts in, else 0."""
+    m = re.match(_DURATION, limit)
+    if not m:
+        raise ValueError(f"{limit!r} isn't a duration")
+    number = lambda k: F.coalesce(F.regexp_extract(x, _DURATION, k).try_cast("double"), F.lit(0.0))
+    sign = F.when(x.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
+    own = [float(m[k] or 0) * (-1 if m[1] else 1) for k in range(2, 8)]
+    months = sign * (number(2) * 12 + number(3)) - (own[0] * 12 + own[1])
+    seconds = sign * (number(4) * DAY + number(5) * 3600 + number(6) * 60 + number(7)) - (own[2] * DAY + own[3] * 3600 + own[4] * 60 + own[5])
+    low, high = F.least(months * SHORT, months * LONG) + seconds, F.greatest(months * SHORT, months * LONG) + seconds
+    return F.when(high < 0, F.lit(-1)).when(low > 0, F.lit(1)).otherwise(F.lit(0))
+
+
+def _order(x: Column, limit: Any, datatype: model.Datatype) -> Column:
+    """-1, 0 or 1 as x is below, at or above the limit in the order of its datatype; null where it can't be read."""
+    info, limit = REGISTRY[datatype.base], str(limit)
+    if info.kind == "duration":
+        return _duration_order(x, limit)
+    if info.kind == "numeric" and info.spark not in ("double", "float"):
+        return _decimal_order(x, limit)
+    kind = "double" if info.kind == "numeric" else "timestamp" if info.kind in ("date", "dateTime") else "string"
+    a, b = x.try_cast(kind), F.lit(limit).try_cast(kind)
+    return F.when(a < b, F.lit(-1)).when(a > b, F.lit(1)).when(a == b, F.lit(0))
 
 
 def _length(x: Column, datatype: model.Datatype) -> Column:
@@ -35,20 +86,28 @@ def _length(x: Column, datatype: model.Datatype) -> Column:
     return F.char_length(x)
 
 
-def element_faults(x: Column, datatype: model.Datatype) -> list[tuple[str, Column]]:
+#: A constraint: (text as written, canonical text where the format admits it, limit, datatype) -> what breaks it.
+Constraint = Callable[[Column, Column, Any, model.Datatype], Column]
+CONSTRAINTS: dict[str, Constraint] = {
+    "minInclusive": lambda x, t, limit, d: _order(t, limit, d) < 0,
+    "minExclusive": lambda x, t, limit, d: _order(t, limit, d) <= 0,
+    "maxInclusive": lambda x, t, limit, d: _order(t, limit, d) > 0,
+    "maxExclusive": lambda x, t, limit, d: _order(t, limit, d) >= 0,
+    "length": lambda x, t, limit, d: _length(x, d) != limit,
+    "minLength": lambda x, t, limit, d: _length(x, d) < limit,
+    "maxLength": lambda x, t, limit, d: _length(x, d) > limit,
+}
+
+
+def register_constraint(name: str, breaks: Constraint) -> None:
+    """Adds or replaces a constraint; datatypes name it among their constraints."""
+    CONSTRAINTS[name] = breaks
+
+
+def element_faults(x: Column, told: Formatted, datatype: model.Datatype) -> list[tuple[str, Column]]:
     """(kind, predicate) of everything that can be wrong with one value that isn't null."""
-    told = compile_format(x, datatype)
     out = [("format" if datatype.format is not None else "datatype", ~told.valid)]
-    c = datatype.constraints
-    order = {"minInclusive": lambda a, b: a < b, "minExclusive": lambda a, b: a <= b, "maxInclusive": lambda a, b: a > b, "maxExclusive": lambda a, b: a >= b}
-    for key, wrong in order.items():
-        if key in c:
-            out.append((key, wrong(_typed(told.value, datatype), _limit(c[key], datatype))))
-    size = {"length": lambda a, b: a != b, "minLength": lambda a, b: a < b, "maxLength": lambda a, b: a > b}
-    for key, wrong in size.items():
-        if key in c:
-            out.append((key, wrong(_length(x, datatype), F.lit(c[key]))))
-    return out
+    return out + [(key, breaks(x, told.value, datatype.constraints[key], datatype)) for key, breaks in CONSTRAINTS.items() if key in datatype.constraints]
 
 
 def _fault(kind: str, wrong: Column, column: str, value: Column) -> Column:
@@ -59,16 +118,23 @@ def column_faults(compiler: TableCompiler, c: CompiledColumn) -> list[Column]:
     name, datatype = c.column.name, c.props["datatype"]
     if c.column.virtual:
         return []
-    raw = squeeze(compiler.raw[name], datatype.base)
     present = c.values if c.values is not None else c.value
-    out = [_fault("required", present.isNull(), name, raw)] if c.props["required"] else []
+    out = [_fault("required", present.isNull(), name, squeeze(compiler.raw[name], datatype.base))] if c.props["required"] else []
     if c.values is not None:
-        some = F.filter(c.values, lambda v: v.isNotNull())
-        for kind in [k for k, _ in element_faults(F.lit(""), datatype)]:
-            bad = F.filter(some, lambda v, kind=kind: F.coalesce(dict(element_faults(v, datatype))[kind], F.lit(False)))
+
+        def read(v: Column) -> Column:
+            told = compile_format(v, datatype)
+            return F.struct(v.alias("x"), told.valid.alias("valid"), told.text.alias("text"))
+
+        some = F.transform(F.filter(c.values, lambda v: v.isNotNull()), read)
+        faults = lambda e: element_faults(e["x"], Formatted(e["valid"], e["text"]), datatype)
+        told = F.transform(some, lambda e: F.struct(e["x"].alias("x"), F.array(*[F.coalesce(wrong, F.lit(False)) for _, wrong in faults(e)]).alias("wrong")))
+        kinds = [kind for kind, _ in element_faults(F.lit(""), Formatted(F.lit(True), F.lit("")), datatype)]
+        for k, kind in enumerate(kinds):
+            bad = F.transform(F.filter(told, lambda e, k=k: e["wrong"][k]), lambda e: e["x"])
             out.append(_fault(kind, F.size(bad) > 0, name, F.array_join(bad, "|")))
         return out
-    return out + [_fault(kind, c.value.isNotNull() & wrong, name, c.value) for kind, wrong in element_faults(c.value, datatype)]
+    return out + [_fault(kind, c.value.isNotNull() & wrong, name, c.value) for kind, wrong in element_faults(c.value, compiler.told(c.column, c.props), datatype)]
 
 
 def cell_errors(compiler: TableCompiler, row: Column) -> DataFrame:
@@ -77,7 +143,7 @@ def cell_errors(compiler: TableCompiler, row: Column) -> DataFrame:
     if not faults:
         return compiler.frame.sparkSession.createDataFrame([], SCHEMA)
     found = F.explode(F.filter(F.array(*faults), lambda f: f.isNotNull()))
-    return compiler.frame.select(F.lit(compiler.table.url).alias("table"), row.cast("string").alias("row"), found.alias("f")).select("table", "row", "f.*")
+    return compiler.staged.select(F.lit(compiler.table.url).alias("table"), row.cast("string").alias("row"), found.alias("f")).select("table", "row", "f.*")
 
 
 def _key(compiler: TableCompiler, names: tuple[str, ...]) -> list[Column]:
@@ -89,7 +155,7 @@ def primary_key_errors(compiler: TableCompiler) -> DataFrame:
     """Keys that several rows have, or that have a null part; counted by key, combined before the shuffle."""
     names = compiler.table.schema.primary_key
     keys = [f"k{i}" for i in range(len(names))]
-    counts = compiler.frame.select(*_key(compiler, names)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    counts = compiler.staged.select(*_key(compiler, names)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     wrong = counts.filter((F.col("n") > 1) | missing)
     shown = F.concat_ws("|", *[F.coalesce(k, F.lit("")) for k in keys])
@@ -99,8 +165,8 @@ def primary_key_errors(compiler: TableCompiler) -> DataFrame:
 def foreign_key_errors(compiler: TableCompiler, parent: TableCompiler, key: model.ForeignKey, row: Column) -> DataFrame:
     """Rows whose key isn't null in any part and that no row of the parent has: an anti join, broadcast only if Spark finds the parent small."""
     keys = [f"k{i}" for i in range(len(key.columns))]
-    child = compiler.frame.select(row.cast("string").alias("row"), *_key(compiler, key.columns)).dropna(subset=keys)
-    wanted = parent.frame.select(*_key(parent, key.references)).dropna(subset=keys)
+    child = compiler.staged.select(row.cast("string").alias("row"), *_key(compiler, key.columns)).dropna(subset=keys)
+    wanted = parent.staged.select(*_key(parent, key.references)).dropna(subset=keys)
     shown = F.concat_ws("|", *keys)
     return child.join(wanted, keys, "left_anti").select(F.lit(compiler.table.url).alias("table"), "row", F.lit("|".join(key.columns)).alias("column"), F.lit("foreignKey").alias("kind"), shown.alias("value"))
 

@@ -14,6 +14,7 @@ from ..operators.triples import distinct_triples, pivot_back
 from ..sources import sinks
 from ..sources.discovery import MemoryResolver
 from ..sources.rows import number_rows
+from ..sources.spread import spread
 from ..streaming.stream import stream_triples
 from .metadata import parse_metadata
 
@@ -51,7 +52,7 @@ def oracle_sql() -> dict[str, str]:
 
 def load(spark: SparkSession, sf_dir: str, table: str, **columns: Column) -> DataFrame:
     """A table, or expressions over it under the given names; Spark reads only what they need."""
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
     return df.select(*[c.alias(n) for n, c in columns.items()]) if columns else df
 
 

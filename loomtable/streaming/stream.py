@@ -19,14 +19,12 @@ def stream_triples(rows: DataFrame, metadata: str | dict | TableGroup, *, base:
     group = metadata if isinstance(metadata, TableGroup) else parse_metadata(metadata, base)
     if len(group.tables) != 1:
         raise MetadataError("a stream is described by one table")
-    named = [c for c in rows.columns if not distinct_by or c != distinct_by[0]]
     frame = rows if not distinct_by else rows.withWatermark(*distinct_by)
-    compiler = TableCompiler(group, group.tables[0], frame.select(*named))
-    compiler.frame = frame
+    compiler = TableCompiler(group, group.tables[0], frame, aside=distinct_by[:1] if distinct_by else ())
     single, many = compiler.cell_structs()
     every = F.concat(F.array(*single), *many) if many else F.array(*single)
     kept = [F.explode(every).alias("t")] + ([F.col(distinct_by[0]).alias("_time")] if distinct_by else [])
-    out = frame.select(*kept).select("t.*", *(["_time"] if distinct_by else []))
+    out = compiler.staged.select(*kept).select("t.*", *(["_time"] if distinct_by else []))
     out = out.filter("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")
     if distinct_by:
         out = out.dropDuplicatesWithinWatermark(list(COLUMNS)).select(*COLUMNS)
