@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,17 +18,70 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Lineage is cut in spark.checkpoint.dir; only where that is unset (tests), a folder of our own is taken."""
+#: Removes a query's shuffle files when it ends; what settle() writes needs them no longer.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bits of a sieve at most (8 MB as a whole), and of one of its parts.
+SIEVE_BITS, PART_BITS = 1 << 26, 1 << 15
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a session on one machine (tests) may leave it unset and gets one of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "loomtable-checkpoints"))
+        told = spark.conf.get("spark.checkpoint.dir", None)
+        if not told and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(told or os.path.join(tempfile.gettempdir(), "loomtable-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows of df, computed once and written as a table in the shared folder, so that a lost executor costs no recomputation.
+
+    The shuffle files that it took to make them go at once; the table goes with discard().
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    was = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if was is None else spark.conf.set(CLEAN_UP, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes settled tables that nothing reads any more; other frames stay as they are."""
+    for df in tables:
+        path = getattr(df, "_settled", None)
+        if path:
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sifted(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> tuple[DataFrame, DataFrame]:
+    """df in two: the rows whose key may be among the wanted keys (all that are, and few others), and the rest.
+
+    The sieve is a bitmap of hashed keys, about eight bits a key and SIEVE_BITS at most, whatever the number of keys;
+    a fuller one lets more rows pass. It spares the others a shuffle. Nulls are keys like others.
+    """
+    bits = min(SIEVE_BITS, max(PART_BITS, 1 << (8 * wanted.count()).bit_length()))
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
+    marks = wanted.select(slot(wanted_key).alias("_slot")).groupBy(F.expr(f"_slot div {PART_BITS}").alias("_part")).agg(F.bitmap_construct_agg(F.col("_slot") % PART_BITS).alias("_marks"))
+    keyed = df.withColumn("_slot", slot(key)).withColumn("_at", F.expr(f"_slot div {PART_BITS}"))
+    marked = keyed.join(F.broadcast(marks), F.col("_at") == F.col("_part"), "left")  # SIEVE_BITS at most
+    place = F.expr(f"CAST(_slot % {PART_BITS} AS INT)")
+    byte = F.conv(F.hex(F.substring("_marks", F.expr(f"CAST(_slot % {PART_BITS} AS INT) div 8 + 1"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("1").bitwiseAND(F.call_function("shiftright", byte, place % 8)) == 1, F.lit(False))
+    extra = ("_slot", "_at", "_part", "_marks")
+    return marked.filter(hit).drop(*extra), marked.filter(~hit).drop(*extra)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -14,7 +14,7 @@
    at MIN_LENGTH; what is unknown then is at least that long, and marks repeated windows.
 4. An anchor with more than HOT different fragments (a passage that many documents share, with other
    text around it) isn't given to one task: its fragments are cut again with longer anchors, which
-   contain more of what surrounds them, along the ladder GRAMS. At its end an anchor is a whole window.
+   contain more of what surrounds them, along a ladder. At its end an anchor is a whole window.
 
 Matches don't cross documents. A null text is an empty one; repeated rows are repeats of each other;
 null ids are allowed. Texts shorter than MIN_LENGTH keep all their bytes.
@@ -28,14 +28,13 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_view, settle, text_slices
+from .common import byte_view, discard, settle, sifted, text_slices
 from .shingles import mix
 
 MIN_LENGTH = 400
-GRAMS = (128, 336, 392, 400)
 #: Different fragments of an anchor that one task takes, and bytes that it sorts at once.
 HOT, SORTED = 2048, 3 << 19
 #: Bytes of text that are cut into runs at once; hashes and their minima take about a hundred times as much.
@@ -219,7 +218,12 @@ def byte_view_binary(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fetch(units: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(anchor, done, doc_id, tag, base, text) of the wanted runs: their bytes, cut from their units."""
+    """(anchor, done, doc_id, tag, base, text) of the wanted runs: their bytes, cut from their units.
+
+    Only units that may hold a wanted run are shuffled.
+    """
+    key = F.xxhash64("doc_id", "tag", "base")
+    units, _ = sifted(units, key, wanted, key)
     lists = wanted.groupBy("doc_id", "tag", "base").agg(F.collect_list(F.struct("anchor", "done", "start", "n")).alias("runs"))
     lists = lists.select(*[F.col(c).alias("_" + c) for c in ("doc_id", "tag", "base")], "runs")
     joined = units.join(lists, units.doc_id.eqNullSafe(lists._doc_id) & (units.tag == lists._tag) & (units.base == lists._base))
@@ -270,41 +274,69 @@ def _expanded(fragments: DataFrame, length: int) -> DataFrame:
     return fragments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, SPANS)
 
 
-def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int, ...] = GRAMS, hot: int = HOT) -> DataFrame:
-    """(doc_id, tag, start, stop): spans of bytes, which may overlap, of all repeated windows."""
+def ladder(length: int) -> tuple[int, ...]:
+    """Lengths of anchors for a minimum length, up to a whole window."""
+    return tuple(sorted({max(1, length * share // 100) for share in (32, 84, 98, 100)}))
+
+
+def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int, ...] | None = None, hot: int = HOT) -> DataFrame:
+    """(doc_id, tag, start, stop), a settled table: spans of bytes, which may overlap, of all repeated windows."""
+    grams = grams or ladder(length)
     text = F.coalesce(F.col("text"), F.lit(""))
     units = docs.select("doc_id", _tag(text).alias("tag"), F.lit(0).cast("long").alias("base"), text.cast("binary").alias("text"))
     spans: list[DataFrame] = []
     for level, gram in enumerate(grams):
-        runs = settle(_run_rows(units, gram, length))
-        twice = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("total"), (F.min("frag") != F.max("frag")).alias("several")).filter("total > 1").select("anchor", "several")
+        every = settle(_run_rows(units, gram, length))
         # Settled, so that the join deals both sides itself and may split an anchor that many documents have.
-        runs = settle(runs.join(settle(twice), "anchor"))
-        kinds = runs.groupBy("anchor", "frag").agg(F.count(F.lit(1)).alias("times"), F.first("several").alias("several"), F.min(F.struct("doc_id", "tag", "base", "start", "n")).alias("one"))
-        kinds = settle(kinds)
+        twice = settle(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("total"), (F.min("frag") != F.max("frag")).alias("several")).filter("total > 1").select("anchor", "several"))
+        runs = settle(every.join(twice, "anchor"))
+        discard(every, twice)
+        kinds = settle(runs.groupBy("anchor", "frag").agg(F.count(F.lit(1)).alias("times"), F.first("several").alias("several"), F.min(F.struct("doc_id", "tag", "base", "start", "n")).alias("one")))
         whole = runs.join(kinds.filter("times > 1").select("anchor", "frag"), ["anchor", "frag"])
-        spans.append(whole.select("doc_id", "tag", "start", (F.col("start") + F.col("n") + (length - 1)).alias("stop")))
-        several = kinds.filter("several").select("anchor", (F.col("times") > 1).alias("done"), "one.*")
+        spans.append(settle(whole.select("doc_id", "tag", "start", (F.col("start") + F.col("n") + (length - 1)).alias("stop"))))
+        discard(runs)
+        several = settle(kinds.filter("several").select("anchor", (F.col("times") > 1).alias("done"), "one.*"))
+        discard(kinds)
         crowds = settle(several.groupBy("anchor").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > hot).select("anchor"))
-        some_hot = bool(crowds.take(1)) and level + 1 < len(grams)
-        if not some_hot:
-            spans.append(_expanded(_fetch(units, several, length), length))
+        last = level + 1 == len(grams) or not crowds.take(1)
+        few = several if last else settle(several.join(crowds, "anchor", "left_anti"))
+        spans.append(settle(_expanded(_fetch(units, few, length), length)))
+        if last:
+            discard(several, crowds, units)
             break
-        few = several.join(crowds, "anchor", "left_anti")
-        spans.append(_expanded(_fetch(units, few, length), length))
-        units = settle(_fetch(units, several.join(crowds, "anchor", "left_semi"), length).select("doc_id", "tag", "base", "text"))
-    out = spans[0]
+        many = settle(several.join(crowds, "anchor", "left_semi"))
+        discard(several, crowds, few)
+        deeper = settle(_fetch(units, many, length).select("doc_id", "tag", "base", "text"))
+        discard(units, many)
+        units = deeper
+    return joined_spans(spans)
+
+
+def joined_spans(spans: list[DataFrame]) -> DataFrame:
+    """Maximal spans of each document, settled: spans that overlap or touch are one."""
+    every = spans[0]
     for more in spans[1:]:
-        out = out.union(more)
+        every = every.union(more)
+    order = Window.partitionBy("doc_id", "tag").orderBy("start", "stop")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = every.withColumn("_new", F.when(reach >= F.col("start"), F.lit(0)).otherwise(F.lit(1)))
+    numbered = begun.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = settle(numbered.groupBy("doc_id", "tag", "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_run"))
+    discard(*spans)
     return out
 
 
-def _with_spans(docs: DataFrame, length: int, grams: tuple[int, ...], hot: int) -> DataFrame:
-    """(row, spans): every row of docs as a struct, and the sorted spans of its text or null."""
+def _with_spans(docs: DataFrame, length: int, grams: tuple[int, ...] | None, hot: int) -> DataFrame:
+    """(row, spans): every row of docs as a struct, and the sorted spans of its text or null.
+
+    Only texts that may have spans are shuffled to meet them.
+    """
     spans = repeated_spans(docs.select("doc_id", "text"), length, grams, hot)
-    lists = spans.groupBy(F.col("doc_id").alias("id"), "tag").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    lists = spans.groupBy(F.col("doc_id").alias("id"), "tag").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", _tag(F.coalesce("text", F.lit(""))).alias("own"))
-    return keyed.join(lists, keyed.doc_id.eqNullSafe(lists.id) & (keyed.own == lists.tag), "left").select("row", "spans")
+    some, none = sifted(keyed, F.xxhash64("doc_id", "own"), spans, F.xxhash64("doc_id", "tag"))
+    found = some.join(lists, some.doc_id.eqNullSafe(lists.id) & (some.own == lists.tag), "left").select("row", "spans")
+    return found.union(none.select("row", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans")))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -318,12 +350,13 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
+def kept_parts(raw: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
+    """What is left before, between and after the runs."""
     ends = [0, *(b for _, b in runs)]
-    return b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in runs), len(raw)], strict=True))
+    return [raw[a:b] for a, b in zip(ends, [*(a for a, _ in runs), len(raw)], strict=True)]
 
 
-def removed_digests(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int, ...] = GRAMS, hot: int = HOT) -> DataFrame:
+def removed_digests(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int, ...] | None = None, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
     rows = _with_spans(docs.select("doc_id", "text"), length, grams, hot).select("row.doc_id", F.coalesce("row.text", F.lit("")).alias("text"), "spans")
 
@@ -332,7 +365,7 @@ def removed_digests(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int,
             cols: tuple[list, ...] = ([], [], [], [])
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw, runs = text.encode(), merged(spans)
-                for c, v in zip(cols, (len(raw), sum(b - a for a, b in runs), len(runs), sha256(without(raw, runs)).hexdigest()), strict=True):
+                for c, v in zip(cols, (len(raw), sum(b - a for a, b in runs), len(runs), sha256(b"".join(kept_parts(raw, runs))).hexdigest()), strict=True):
                     c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -340,10 +373,10 @@ def removed_digests(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int,
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int, ...] = GRAMS, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int, ...] | None = None, hot: int = HOT) -> DataFrame:
     """docs, all columns, with repeated bytes cut from text; null texts stay null, n_chars follows the text.
 
-    A character of which a part is cut goes as a whole.
+    A character of which a part is cut goes as a whole: each part that is left is decoded by itself.
     """
     columns = docs.columns
     if "n_chars" in columns:
@@ -359,7 +392,7 @@ def without_repeats(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int,
                 texts, cut = [], []
                 for text, spans in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
                     if spans:
-                        text = without(text.encode(), merged(spans)).decode("utf-8", "ignore")
+                        text = "".join(part.decode("utf-8", "ignore") for part in kept_parts(text.encode(), merged(spans)))
                     cut.append(bool(spans))
                     texts.append(text)
                 cols = list(part.columns[:-1])
