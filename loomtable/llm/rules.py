@@ -66,27 +66,32 @@ def words_of(text: Column) -> Column:
 def repeated_words(words: str) -> Column:
     """Words inside three-word windows that occur twice or more, the first occurrence included.
 
-    Windows are sorted with their places; equal neighbours are repeats. Their places, sorted, cover
-    three words each, less what the next one covers too.
+    Where all windows' hashes differ there are none. Else windows are sorted by hash, then by text, with their places;
+    equal neighbours are repeats, and texts are compared only where hashes meet. Places of repeats, sorted, cover three
+    words each, less what the next one covers too.
     """
     return F.expr(
         f"""
         CASE WHEN size({words}) < 4 THEN 0L ELSE
-          aggregate(
-            array_sort(
-              flatten(
-                transform(
-                  array(array_sort(transform(
-                    slice({words}, 1, size({words}) - 2),
-                    (w, i) -> struct(concat_ws(' ', w, {words}[i + 1], {words}[i + 2]) AS t, i AS i)))),
-                  s -> transform(
-                    filter(
-                      transform(s, (x, j) -> struct(x.i AS i, (j > 0 AND s[j - 1].t = x.t) OR (j + 1 < size(s) AND s[j + 1].t = x.t) AS r)),
-                      y -> y.r),
-                    y -> y.i)))),
-            struct(-3 AS last, 0L AS n),
-            (a, p) -> struct(p AS last, a.n + least(3, p - a.last) AS n),
-            a -> a.n)
+          transform(
+            array(transform(slice({words}, 1, size({words}) - 2), (w, i) -> xxhash64(w, {words}[i + 1], {words}[i + 2]))),
+            hashes -> CASE WHEN size(array_distinct(hashes)) = size(hashes) THEN 0L ELSE
+              aggregate(
+                sort_array(
+                  flatten(
+                    transform(
+                      array(sort_array(transform(
+                        hashes,
+                        (h, i) -> struct(h AS h, concat_ws(' ', {words}[i], {words}[i + 1], {words}[i + 2]) AS t, i AS i)))),
+                      s -> transform(
+                        filter(
+                          transform(s, (x, j) -> struct(x.i AS i, (j > 0 AND s[j - 1].h = x.h AND s[j - 1].t = x.t) OR (j + 1 < size(s) AND s[j + 1].h = x.h AND s[j + 1].t = x.t) AS r)),
+                          y -> y.r),
+                        y -> y.i)))),
+                struct(-3 AS last, 0L AS n),
+                (a, p) -> struct(p AS last, a.n + least(3, p - a.last) AS n),
+                a -> a.n)
+            END)[0]
         END"""
     )
 
@@ -118,8 +123,8 @@ def fails(policy: Policy) -> Column:
 
 
 def apply_policy(book: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """Adds base_failed and kept; what the base rules reject, every policy rejects."""
-    return book.withColumn("base_failed", fails(BASE)).withColumn("kept", ~fails(BASE) & ~fails(policy))
+    """Adds base_failed, kept and the policy's name and version; what the base rules reject, every policy rejects."""
+    return book.withColumn("base_failed", fails(BASE)).withColumn("kept", ~fails(BASE) & ~fails(policy)).withColumn("policy", F.lit(f"{policy.name}/{policy.version}"))
 
 
 def ablations(book: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
@@ -136,7 +141,7 @@ def ablations(book: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     return masks.select("m", "n", each.alias("r")).groupBy(F.col("r.rule").alias("rule")).agg(total(hit).alias("failed"), total(hit & rest).alias("failed_alone"), total(rest).alias("kept_without"))
 
 
-COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "policy")
 
 #: DuckDB: the same rows as the query over `documents`.
 ORACLE = r"""
