@@ -8,9 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomtable.llm import neardup, packing, quality, repeats, rules
-from loomtable.llm.common import ensure_checkpoint_dir, load
+from loomtable.llm.common import load, remove, shared_folder
 from loomtable.llm.queries import BYTE_BPE, BYTE_BPE_FILE
 
+#: Bytes from which a repeated string is cut: passages of over 50 words are longer (the shortest of 51 words in the
+#: benchmark table has 271 bytes).
+PASSAGE = 240
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field scores 0.3 or more; it learns from the labelled ones among docs."""
@@ -29,8 +33,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of long repeated strings."""
-    return repeats.without_repeats(docs)
+    """Documents without the bytes of repeated strings of PASSAGE bytes or more."""
+    return repeats.without_repeats(docs, PASSAGE)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +49,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over `documents`; their results are tables in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = load(spark, sf_dir, "documents")
+    """The stages over `documents`; their results are tables in the shared folder, each removed once the next is written."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = load(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
