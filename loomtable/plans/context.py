@@ -20,11 +20,13 @@ PREFIXES = {
     "dcat": "http://www.w3.org/ns/dcat#",
     "dcterms": "http://purl.org/dc/terms/",
     "dctypes": "http://purl.org/dc/dcmitype/",
+    "dqv": "http://www.w3.org/ns/dqv#",
     "duv": "https://www.w3.org/TR/vocab-duv#",
     "foaf": "http://xmlns.com/foaf/0.1/",
     "gr": "http://purl.org/goodrelations/v1#",
     "grddl": "http://www.w3.org/2003/g/data-view#",
     "ical": "http://www.w3.org/2002/12/cal/icaltzd#",
+    "ldp": "http://www.w3.org/ns/ldp#",
     "ma": "http://www.w3.org/ns/ma-ont#",
     "oa": "http://www.w3.org/ns/oa#",
     "og": "http://ogp.me/ns#",
