@@ -135,7 +135,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     return basis, x
 
 
-def plan_packing(histogram: dict[int, int], capacity: int, groups: int = 64, small_share: int = 8) -> Plan:
+def plan_packing(histogram: dict[int, int], capacity: int, groups: int = 128, small_share: int = 3) -> Plan:
     """Lays out a histogram {length: pieces}; lengths from capacity // small_share on count as large."""
     plan = Plan(capacity)
     left = {int(k): int(v) for k, v in histogram.items() if v}
@@ -270,7 +270,7 @@ def assign(pieces: DataFrame, plan: Plan, buckets: int) -> DataFrame:
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank").mapInArrow(look_up, PIECES + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, groups: int = 64, added: dict[str, int] | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, groups: int = 128, added: dict[str, int] | None = None) -> DataFrame:
     """Packs the texts of docs (doc_id, text; further columns are ignored). An empty table gives an empty result.
 
     Null and empty texts are one end id; null ids stay null; repeated rows are packed each.

@@ -167,3 +167,13 @@ def test_counts_with_a_table_of_edits(spark, docs, rows, empty):
     assert told[1]["n_tokens_edited"] == len(code.encode_ordinary("Zed" + new[3:])) and told[0]["n_edits"] == 0
     assert told[2]["n_tokens_edited"] == len(code.encode_ordinary(texts[2][0] + texts[2][2:]))
     assert counts.count_with_edits(counts.sample_edits(empty), RANKS, PATTERN).count() == 0
+
+
+def test_packing_is_as_good_as_best_fit_decreasing():
+    rng = np.random.default_rng(3)
+    lengths = np.minimum(np.exp(rng.normal(5.8, 1.1, 20_000)).astype(int) + 1, 2048)
+    histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+    plain = packing.plan_packing(histogram, 2048, small_share=1)  # nothing counts as large: best fit alone
+    ours = packing.plan_packing(histogram, 2048)
+    least = -(-sum(k * n for k, n in histogram.items()) // 2048)
+    assert least <= ours.sequences <= plain.sequences
