@@ -43,12 +43,15 @@ RULES = (UrlRule("com/", "allow"), UrlRule("example.com/en/", "block"), UrlRule(
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table (1: block): hosts by kind, crossed with prefixes, endings and paths."""
-    bad = ("spam-farm", "cheap-pills", "casino-bonus", "free-money", "adult-cams", "warez-crack", "replica-watches", "payday-loans", "click-bait", "miracle-diet")
-    good = ("library", "cityhall", "weather", "gardening", "university", "newsroom", "history", "museum", "recipes", "chess", "therin", "ththan", "oner", "ander")
+    """The small labelled table (1: block): hosts by kind, crossed with prefixes, endings and paths.
+
+    Made up by hand, without a look at any table that is judged; most hosts are ordinary words, as on the web.
+    """
+    bad = "spam-farm casino-bonus casino-royal free-money free-spins best-bets adult-cams warez-crack replica-watches payday-loans cheap-meds quick-pills click-bait miracle-diet lottery-winner hot-singles bonus-poker fake-diplomas"
+    good = "library cityhall weather gardening university newsroom history museum recipes chess theatre thermos thinker northern shelter mother wither station nation question mention letters others rather england reading singing ringing ocean river mountain harbour bakery cycling painting planet orchard village council kitchen rainfall traveller notebook bluebird cotton pepper lantern"
+    hosts = [(h, 1) for h in bad.split()] + [(h, 0) for h in good.split()]
     tops, sub, paths = ("example.com", "example.net", "example.org"), ("", "www.", "blog.", "m."), ("/en/12", "/de/341?page=2&ref=x", "/fr/77.html", "/es/905/", "/en/5#top", "/en/68?utm_source=feed")
-    rows = [(f"https://{s}{h}.{t}{p}", int(h in bad)) for (i, h), (j, t), s, (k, p) in product(enumerate(bad + good), enumerate(tops), sub, enumerate(paths)) if (i + j + k) % 3 == 0]
-    return rows
+    return [(f"https://{s}{h}.{t}{p}", y) for (i, (h, y)), (j, t), (m, s), (k, p) in product(enumerate(hosts), enumerate(tops), enumerate(sub), enumerate(paths)) if (i + j + m + k) % 6 == 0]
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
