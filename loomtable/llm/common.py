@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import tempfile
@@ -14,6 +16,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.spread import spread
+
 #: Bytes of text that a Python worker holds in one piece of a batch.
 SLICE_BYTES = 4 << 20
 
@@ -85,7 +89,7 @@ def sifted(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) ->
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -117,6 +121,20 @@ def byte_view(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray,
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after whose end a worker that waits for its next task gives freed memory back to the machine."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def map_texts(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | dict], *, columns: tuple[str, ...] = ("doc_id", "text"), setup: Callable[[], Callable] | None = None) -> DataFrame:
     """mapInArrow over slices of bounded size. setup() runs once per task and returns the worker function."""
 
@@ -131,7 +149,7 @@ def map_texts(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.Re
             else:
                 yield out
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(tidy(run), schema)
 
 
 def hash_part(column: str, modulus: int) -> Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, settle, text_slices, texts_of
+from .common import discard, map_texts, settle, sifted, text_slices, texts_of, tidy
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -80,9 +80,9 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "n": pa.array([n for n, _ in total.values()], pa.int64()), "sums": pa.array([s.astype("<i8").tobytes() for _, s in total.values()], pa.binary())})
 
     schema = "part int, n long, sums binary"
-    tasks = docs.select("text").mapInArrow(count, schema)
+    tasks = docs.select("text").mapInArrow(tidy(count), schema)
     # Each part is added up as it streams in; what reaches the driver is the sketch, of fixed size.
-    rows = tasks.repartition(PARTS, "part").mapInArrow(add, schema).collect()
+    rows = tasks.repartition(PARTS, "part").mapInArrow(tidy(add), schema).collect()
     out, n = np.zeros((PARTS, WIDTH // PARTS), np.int64), 0
     for r in rows:
         out[r["part"]] += np.frombuffer(r["sums"], "<i8")
@@ -259,7 +259,7 @@ def candidates(texts: DataFrame, members: DataFrame | None = None) -> DataFrame:
         sizes = sizes.select("bucket", F.ceil(F.log2(F.greatest(F.col("size") / (BLOCK // 2), F.lit(1.0)))).cast("int").alias("bits"))
         dealt = members.join(sizes, "bucket").withColumn("block", F.expr("CASE WHEN bits = 0 THEN 0L ELSE shiftrightunsigned(xxhash64(digest), 64 - bits) END"))
         blocks = dealt.join(texts, "digest").select("bucket", "block", "bits", "digest", "samples")
-        level = settle(blocks.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "digest").mapInArrow(_in_blocks, _LEVEL))
+        level = settle(blocks.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "digest").mapInArrow(tidy(_in_blocks), _LEVEL))
         found.append(level.filter(F.col("kind") == PAIR).select("a", "b"))
         alone = level.filter(F.col("kind") == ALONE)
         if alone.take(1):
@@ -341,21 +341,27 @@ def _against_all(alone: DataFrame, dealt: DataFrame, sizes: DataFrame, texts: Da
         if asking and members:
             yield answer()
 
-    return both.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "asks").mapInArrow(run, "a binary, b binary")
+    return both.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "asks").mapInArrow(tidy(run), "a binary, b binary")
 
 
 # --- verification
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, digest, text) of the documents whose text may be wanted (wanted, rep_id); only these are shuffled."""
+    source = docs.select("doc_id", digest_of().alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+    return sifted(source, F.xxhash64("digest", "doc_id"), wanted, F.xxhash64("wanted", "rep_id"))[0]
+
+
 def verified_links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, idf: np.ndarray, similar: float = SIMILAR) -> DataFrame:
     """(a, b, similarity) of the pairs whose whole texts are similar enough.
 
     Each text is fetched once, from the row that stands for its copies, and sent to its pairs.
     """
     ends = pairs.select(F.col("a").alias("digest"), "a", "b").union(pairs.select(F.col("b").alias("digest"), "a", "b"))
-    wanted = ends.join(reps.select("digest", "rep_id"), "digest")
-    source = docs.select("doc_id", digest_of().alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = source.join(wanted, (source.digest == wanted.digest) & source.doc_id.eqNullSafe(wanted.rep_id)).select("a", "b", wanted.digest.alias("digest"), "text")
+    wanted = settle(ends.join(reps.select("digest", "rep_id"), "digest").withColumnRenamed("digest", "wanted"))
+    source = _texts_of(docs, wanted)
+    texts = source.join(wanted, (F.col("digest") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("a", "b", "digest", "text")
 
     def compare(batches):
         held: list[tuple] = []
@@ -391,7 +397,7 @@ def verified_links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, idf: np.n
             yield judge(groups)
 
     # Partitions by pair: a text that many pairs need goes to many tasks.
-    return texts.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a binary, b binary, similarity double")
+    return texts.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(tidy(compare), "a binary, b binary, similarity double")
 
 
 # --- links that join what is left
@@ -438,7 +444,7 @@ def unjoined(texts: DataFrame, members: DataFrame, labels: DataFrame) -> DataFra
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "p", "q", "block", "digest", "label"])
 
-    return pairs.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(run, "bucket long, p long, q long, block long, digest binary, label binary")
+    return pairs.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(tidy(run), "bucket long, p long, q long, block long, digest binary, label binary")
 
 
 def _foreign(rows: list[tuple]) -> np.ndarray:
@@ -498,9 +504,9 @@ def joins_of(rows: list[tuple], sets: list[tuple[np.ndarray, np.ndarray]], idf:
 
 def joining_links(left: DataFrame, docs: DataFrame, reps: DataFrame, idf: np.ndarray, similar: float = SIMILAR) -> DataFrame:
     """(a, b, similarity, la, lb): links between texts of different labels among the rows of unjoined()."""
-    wanted = left.join(reps.select("digest", "rep_id"), "digest")
-    source = docs.select("doc_id", digest_of().alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = source.join(wanted, (source.digest == wanted.digest) & source.doc_id.eqNullSafe(wanted.rep_id)).select("bucket", "p", "q", "block", wanted.digest.alias("digest"), "label", "text")
+    wanted = settle(left.join(reps.select("digest", "rep_id"), "digest").withColumnRenamed("digest", "wanted"))
+    source = _texts_of(docs, wanted)
+    texts = source.join(wanted, (F.col("digest") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("bucket", "p", "q", "block", "digest", "label", "text")
 
     def compare(batches):
         for rows in _groups(text_slices(batches), 3):
@@ -510,7 +516,7 @@ def joining_links(left: DataFrame, docs: DataFrame, reps: DataFrame, idf: np.nda
                 kinds = (pa.binary(), pa.binary(), pa.float64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], ["a", "b", "similarity", "la", "lb"])
 
-    joined = texts.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(compare, "a binary, b binary, similarity double, la binary, lb binary")
+    joined = texts.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(tidy(compare), "a binary, b binary, similarity double, la binary, lb binary")
     return joined.dropDuplicates(["a", "b"])
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import map_texts, settle, texts_of
+from .common import map_texts, settle, texts_of, tidy
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -267,7 +267,7 @@ def assign(pieces: DataFrame, plan: Plan, buckets: int) -> DataFrame:
             out += [pa.array(run[:, 3] + k // each), pa.array(run[:, 5] + k % each * cols["length"])]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank").mapInArrow(look_up, PIECES + ", sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank").mapInArrow(tidy(look_up), PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, groups: int = 128, added: dict[str, int] | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, hash_part, map_texts, text_slices
+from .common import byte_view, hash_part, map_texts, text_slices, tidy
 
 #: Labelled rows that are learnt from, about, and the longest of them in characters.
 SAMPLE, LONGEST = 2000, 20_000
@@ -257,7 +257,7 @@ def keep_good(docs: DataFrame, field: LineField, threshold: float = 0.3) -> Data
                 keep = field.score(*byte_view(part)) >= threshold
                 yield pa.RecordBatch.from_arrays(part.filter(pa.array(keep)).columns, schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def columns(rows: list[tuple[str, int]]) -> tuple[list[str], list[int]]:

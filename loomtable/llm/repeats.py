@@ -31,14 +31,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_view, discard, settle, sifted, text_slices
+from .common import byte_view, discard, settle, sifted, text_slices, tidy
 from .shingles import mix
 
 MIN_LENGTH = 400
 #: Different fragments of an anchor that one task takes, and bytes that it sorts at once.
-HOT, SORTED = 2048, 3 << 19
+HOT, SORTED = 2048, 1 << 20
 #: Bytes of text that are cut into runs at once; hashes and their minima take about a hundred times as much.
-CUT = 1 << 20
+CUT = 1 << 19
 _PLACE = 24
 
 
@@ -208,7 +208,7 @@ def _run_rows(units: DataFrame, gram: int, length: int) -> DataFrame:
                 base = batch.column(2).take(pick)
                 yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(frag.view(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), base, pa.array(np.asarray(base) + within), pa.array(n.astype(np.int32))], ["anchor", "frag", "doc_id", "tag", "base", "start", "n"])
 
-    return units.select("doc_id", "tag", "base", "text").mapInArrow(run, schema)
+    return units.select("doc_id", "tag", "base", "text").mapInArrow(tidy(run), schema)
 
 
 def byte_view_binary(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +238,7 @@ def _fetch(units: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["anchor", "done", "doc_id", "tag", "base", "text"])
 
-    return joined.select("doc_id", "tag", "base", "text", "runs").mapInArrow(cut, "anchor long, done boolean, doc_id long, tag long, base long, text binary")
+    return joined.select("doc_id", "tag", "base", "text", "runs").mapInArrow(tidy(cut), "anchor long, done boolean, doc_id long, tag long, base long, text binary")
 
 
 SPANS = "doc_id long, tag long, start long, stop long"
@@ -271,7 +271,7 @@ def _expanded(fragments: DataFrame, length: int) -> DataFrame:
         if held:
             yield judge()
 
-    return fragments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, SPANS)
+    return fragments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(run), SPANS)
 
 
 def ladder(length: int) -> tuple[int, ...]:
@@ -370,7 +370,7 @@ def removed_digests(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int,
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int, ...] | None = None, hot: int = HOT) -> DataFrame:
@@ -402,4 +402,4 @@ def without_repeats(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int,
                     cols[k] = pa.array([len(t) if c else n for t, c, n in zip(texts, cut, cols[k].to_pylist(), strict=True)], pa.int64())
                 yield pa.RecordBatch.from_arrays(cols, columns)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
