@@ -76,17 +76,22 @@ def read_wav(media: bytes) -> dict:
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, out = 12, {"samples_per_block": 0}
+    fields = {"fmt ": 16, "fact": 4, "data": 0}
     while at + 8 <= len(media):
         kind, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
+        if at + 8 + fields.get(kind.decode("latin-1"), 0) > len(media):
+            raise ValueError("a WAV file that ends inside a chunk")
         if kind == b"fmt ":
-            out["tag"], _, out["rate"], _, out["align"], out["bits"] = struct.unpack_from("<HHIIHH", media, at + 8)
-            if out["tag"] == IMA_ADPCM:
+            out["tag"], out["channels"], out["rate"], _, out["align"], out["bits"] = struct.unpack_from("<HHIIHH", media, at + 8)
+            if out["tag"] == IMA_ADPCM and at + 28 <= len(media):
                 out["samples_per_block"] = struct.unpack_from("<H", media, at + 26)[0]
         elif kind == b"fact" and size >= 4:
             out["samples"] = struct.unpack_from("<I", media, at + 8)[0]
         elif kind == b"data":
             out["data"] = media[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
+    if "tag" not in out or "data" not in out:
+        raise ValueError("a WAV file without format or data")
     return out
 
 
@@ -141,15 +146,25 @@ def encode_adpcm(pcm: np.ndarray, block: int = 256) -> bytes:
 
 
 def to_pcm(media: bytes) -> tuple[np.ndarray, int]:
-    """16-bit samples and rate of a WAV file in any of the formats."""
+    """16-bit samples and rate of a WAV file in any of the formats; several channels become their mean."""
     w = read_wav(media)
+    if not w["rate"]:
+        raise ValueError("a rate of 0")
     if w["tag"] in EXPAND:
-        return EXPAND[w["tag"]][np.frombuffer(w["data"], np.uint8)], w["rate"]
-    if w["tag"] == IMA_ADPCM:
+        return _mono(EXPAND[w["tag"]][np.frombuffer(w["data"], np.uint8)], w["channels"]), w["rate"]
+    if w["tag"] == IMA_ADPCM and w["channels"] == 1 and w["align"] > 4:
         return decode_adpcm(w["data"], w["align"])[: w.get("samples") or None], w["rate"]
     if w["tag"] == PCM and w["bits"] == 16:
-        return np.frombuffer(w["data"], "<i2"), w["rate"]
-    raise ValueError(f"format {w['tag']} with {w['bits']} bits")
+        return _mono(np.frombuffer(w["data"][: len(w["data"]) // 2 * 2], "<i2"), w["channels"]), w["rate"]
+    raise ValueError(f"format {w['tag']} with {w['bits']} bits and {w['channels']} channels")
+
+
+def _mono(pcm: np.ndarray, channels: int) -> np.ndarray:
+    """The mean of interleaved channels, rounded down; samples of an incomplete last instant go."""
+    if channels <= 1:
+        return pcm
+    whole = pcm[: len(pcm) // channels * channels].reshape(-1, channels)
+    return (whole.sum(axis=1, dtype=np.int64) // channels).astype(np.int16)
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
@@ -179,14 +194,24 @@ def store_pcm(media: bytes, rate: int = 16000) -> bytes:
 
 
 def media_column(media: DataFrame, rate: int = 16000) -> DataFrame:
-    """(doc_id, pcm, feature) of a table (doc_id, media): every recording as resampled PCM. Null media gives nulls."""
+    """(doc_id, pcm, feature) of a table (doc_id, media): every recording as resampled PCM.
+
+    Null media gives nulls. Bytes that can't be read give a null pcm, and their feature names the fault. Each row gives
+    one row, repeated ones too; an empty table gives none, and other columns are not read.
+    """
+
+    def measured(raw: bytes | None) -> tuple[bytes | None, str | None]:
+        if raw is None:
+            return None, None
+        try:
+            return store_pcm(raw, rate), features(*to_pcm(raw))
+        except ValueError as fault:
+            return None, json.dumps({"error": str(fault)})
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):  # one recording at a time bounds memory
-                raw = batch.column(1)[k].as_py()
-                pcm = None if raw is None else store_pcm(raw, rate)
-                told = None if raw is None else features(*to_pcm(raw))
+                pcm, told = measured(batch.column(1)[k].as_py())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1).cast(pa.int64()), pa.array([pcm], pa.binary()), pa.array([told], pa.string())], ["doc_id", "pcm", "feature"])
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, pcm binary, feature string")
