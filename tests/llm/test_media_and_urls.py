@@ -131,3 +131,64 @@ def test_a_short_last_block_of_adpcm():
     at = media.index(b"fact") + 8
     for told in (1010, 1100, 1178):
         assert len(audio.to_pcm(media[:at] + told.to_bytes(4, "little") + media[at + 4 :])[0]) == told
+
+
+def test_media_that_cannot_be_read(spark):
+    good = audio.wav(bytes(range(64)), audio.MU_LAW)
+    bad = [b"", b"RIFF", b"no audio at all", good[:14], good[:30], good[: good.index(b"data")], good[:20] + b"\x63\0" + good[22:], good[:24] + b"\0\0\0\0" + good[28:]]
+    frame = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate([*bad, good])] + [(None, bytearray(good))], "doc_id long, media binary")
+    got = audio.media_column(frame).collect()
+    assert len(got) == len(bad) + 2
+    for r in got:
+        assert (r["pcm"] is None and "error" in r["feature"]) if r["doc_id"] is not None and r["doc_id"] < len(bad) else r["pcm"]
+    assert audio.media_column(frame.limit(0)).count() == 0
+
+
+def test_stereo_becomes_the_mean():
+    pcm = np.array([100, 300, -100, -301, 7], "<i2")
+    media = bytearray(audio.wav(pcm.tobytes(), audio.PCM, bits=16))
+    media[22] = 2
+    assert audio.to_pcm(bytes(media))[0].tolist() == [200, -201]
+
+
+def test_no_host_name_of_the_labelled_table_is_judged(spark):
+    host = lambda u: u.split("://")[1].split("/")[0].split("?")[0].split("#")[0].lower()
+    name = lambda h: h.split(".")[-3] if h.count(".") >= 2 else h
+    judged = {name(host(r[0])) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url").collect() if r[0] and "://" in r[0]}
+    assert judged and not judged & {name(host(u)) for u, _ in urls.labelled_urls()}
+
+
+def _grams(host, path, bits):
+    """The n-grams one at a time, with plain integers."""
+    out, top = set(), (1 << 64) - 1
+    for salt, part in ((1, "^" + host + "$"), (2, path + "$")):
+        raw = [48 if 48 <= c < 58 else c for c in part.encode()]
+        for n in (3, 4, 5):
+            for i in range(len(raw) - n + 1):
+                h = salt * 1_000_003 + n
+                for c in raw[i : i + n]:
+                    h = (h ^ c) * 0x100000001B3 & top
+                out.add(((h ^ (h >> 31)) * 0x9E3779B97F4A7C15 & top) >> (64 - bits))
+    return sorted(out)
+
+
+def test_ngrams_and_regression_against_plain_python():
+    for host, path in (("a.example.com", "/en/12"), ("", ""), ("x", "/"), ("é.org", "/ü" * 50)):
+        assert urls.hashed_ngrams(host, path).tolist() == _grams(host, path, urls.BITS)
+    rows = [("http://good.org/a", 0), ("http://bad-spam.com/b?x", 1), ("http://fine.net/c#y", 0), ("https://Spam-bad.org", 1)]
+    parts = [("good.org", "/a"), ("bad-spam.com", "/b"), ("fine.net", "/c"), ("spam-bad.org", "")]
+    w, b, order = {}, 0.0, np.random.default_rng(7)
+    for _ in range(5):
+        for i in order.permutation(4):
+            f = _grams(*parts[i], 12)
+            n = math.sqrt(max(1, len(f)))
+            g = 1 / (1 + math.exp(-(b + sum(w.get(k, 0.0) for k in f) / n))) - rows[i][1]
+            for k in f:
+                w[k] = w.get(k, 0.0) - 0.5 * (g / n + 1e-3 * w.get(k, 0.0))
+            b -= 0.5 * 0.1 * g
+    model = urls.train(rows, bits=12, rounds=5)
+    assert abs(model.bias - b) < 1e-9
+    for host, path in parts:
+        f = _grams(host, path, 12)
+        z = b + sum(w.get(k, 0.0) for k in f) / math.sqrt(max(1, len(f)))
+        assert abs(model.score(host, path) - 1 / (1 + math.exp(-z))) < 1e-5
