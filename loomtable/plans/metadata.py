@@ -15,6 +15,14 @@ from .model import Column, Datatype, Dialect, ForeignKey, NumericFormat, Schema,
 #: The kind that `@type` must name, by where a description stands.
 TYPES = ("TableGroup", "Table", "Schema", "Column", "Dialect", "Template")
 LINKS = ("aboutUrl", "propertyUrl", "valueUrl")
+#: The plain properties that each kind of description may have, beside the inherited ones.
+INHERITED = ("aboutUrl", "datatype", "default", "lang", "null", "ordered", "propertyUrl", "required", "separator", "textDirection", "valueUrl")
+PROPERTIES = {
+    "TableGroup": ("@context", "@id", "@type", "dialect", "notes", "tableDirection", "tableSchema", "tables", "transformations"),
+    "Table": ("@context", "@id", "@type", "dialect", "notes", "suppressOutput", "tableDirection", "tableSchema", "transformations", "url"),
+    "Schema": ("@context", "@id", "@type", "columns", "foreignKeys", "primaryKey", "rowTitles"),
+    "Column": ("@id", "@type", "name", "suppressOutput", "titles", "virtual"),
+}
 LIMITS = ("minimum", "maximum", "minInclusive", "maxInclusive", "minExclusive", "maxExclusive")
 LENGTHS = ("length", "minLength", "maxLength")
 
@@ -153,9 +161,12 @@ class MetadataParser:
             return None
         return value
 
-    def _common(self, obj: dict) -> dict[str, Any]:
-        """Properties with a prefix; the others are known, or warned of."""
-        return {k: v for k, v in obj.items() if ":" in k and "://" not in k or "://" in k}
+    def _common(self, obj: dict, kind: str) -> dict[str, Any]:
+        """Properties with a prefix or an absolute name; the others are known for the kind, or warned of."""
+        for key in obj:
+            if ":" not in key and key not in INHERITED and key not in PROPERTIES[kind]:
+                self.warn(f"{key!r} is no property of a {kind}")
+        return {k: v for k, v in obj.items() if ":" in k}
 
     # --- parts
 
@@ -176,7 +187,7 @@ class MetadataParser:
             group.tables.append(self._table({"tableSchema": shared} | t if shared else t))
         if not group.tables:
             raise MetadataError("no table is described")
-        group.common, group.notes = self._common(obj), self._array(obj, "notes")
+        group.common, group.notes = self._common(obj, "TableGroup"), self._array(obj, "notes")
         return group
 
     def _table(self, obj: dict) -> Table:
@@ -193,12 +204,12 @@ class MetadataParser:
             table.schema = self._schema(schema)
         if obj.get("tableDirection", "auto") not in ("rtl", "ltr", "auto"):
             self.warn("tableDirection is rtl, ltr or auto")
-        table.common, table.notes = self._common(obj), self._array(obj, "notes")
+        table.common, table.notes = self._common(obj, "Table"), self._array(obj, "notes")
         return table
 
     def _schema(self, obj: dict) -> Schema:
         self._kind(obj, "Schema")
-        schema = Schema(columns=[], props=self._inherited(obj), common=self._common(obj))
+        schema = Schema(columns=[], props=self._inherited(obj), common=self._common(obj, "Schema"))
         schema.id = self._link(obj["@id"], "@id") if "@id" in obj else None
         virtual = False
         for k, c in enumerate(self._array(obj, "columns")):
@@ -226,10 +237,10 @@ class MetadataParser:
         return schema
 
     def _foreign_key(self, obj: Any, names: list[str]) -> ForeignKey | None:
-        if not isinstance(obj, dict) or not isinstance(obj.get("reference"), dict):
+        ref = self._object(obj["reference"], "reference") if isinstance(obj, dict) and "reference" in obj else None
+        if ref is None:
             self.warn("a foreign key has columns and a reference")
             return None
-        ref = obj["reference"]
         columns = self._names(obj.get("columnReference"), "columnReference")
         targets = self._names(ref.get("columnReference"), "columnReference")
         resource = self._link(ref["resource"], "resource") if "resource" in ref else None
@@ -250,7 +261,7 @@ class MetadataParser:
         if name is None:
             first = next((t[0] for tag in (self.language, "und", *titles) if (t := titles.get(tag))), None)
             name = quote(first, safe="~") if first is not None else f"_col.{number}"
-        column = Column(name, titles, self._bool(obj, "virtual", False), self._bool(obj, "suppressOutput", False, fatal=True), self._inherited(obj), self._common(obj))
+        column = Column(name, titles, self._bool(obj, "virtual", False), self._bool(obj, "suppressOutput", False, fatal=True), self._inherited(obj), self._common(obj, "Column"))
         return column
 
     def _inherited(self, obj: dict) -> dict[str, Any]:

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from loomtable import convert, convert_group, parse_metadata
-from loomtable.plans.metadata import MetadataError
+from loomtable.plans.metadata import MetadataError, MetadataParser
 from loomtable.sources.discovery import MemoryResolver
 
 BASE = "http://example.org/"
@@ -145,3 +145,19 @@ def test_warnings_and_names():
     group = parse_metadata({"@context": ["http://www.w3.org/ns/csvw", {"@language": "en"}], "url": "x", "lang": "not a tag", "tableSchema": {"columns": [{"name": "_a", "titles": "A b"}, {"titles": {"en": ["T"], "de": "D"}}, {"datatype": "nothing"}]}}, BASE)
     assert [c.name for c in group.tables[0].schema.columns] == ["A%20b", "T", "_col.3"]
     assert len(group.warnings) == 3
+
+
+def test_unknown_properties_are_warned_of():
+    meta = {"@context": "http://www.w3.org/ns/csvw", "tables": [{"url": URL, "colour": 1, "dc:title": "t", "http://x.org/p": 2, "tableSchema": {"columns": [{"name": "a", "titel": "A", "separator": ";"}], "keys": []}}], "sorted": True}
+    group = parse_metadata(meta, BASE)
+    assert sorted(w.split("'")[1] for w in group.warnings) == ["colour", "keys", "sorted", "titel"]
+    assert group.tables[0].common == {"dc:title": "t", "http://x.org/p": 2}
+
+
+def test_a_reference_may_be_a_link():
+    meta = schema([{"name": "a"}], foreignKeys=[{"columnReference": "a", "reference": "ref.json"}])
+    parser = MetadataParser(BASE, {BASE + "ref.json": {"@context": "x", "resource": "other.csv", "columnReference": "b"}}.get)
+    (key,) = parser.parse(meta).tables[0].schema.foreign_keys
+    assert (key.columns, key.resource) == (("a",), BASE + "other.csv") and not parser.warnings
+    with pytest.raises(MetadataError):
+        MetadataParser(BASE).parse(meta)
