@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Codec, codec
+from .bpe import LONG_CHUNK, Codec, codec
 from .common import map_texts
 
 #: Characters of a leaf, about.
@@ -82,7 +82,7 @@ class CountedText:
     def __init__(self, text: str, code: Codec, size: int = LEAF):
         self.code, self.size, self.reencoded = code, size, 0
         self.leaves = leaves_of(text, size)
-        self._build([len(code.encode_packed(leaf)) // 4 for leaf in self.leaves])
+        self._build([len(code.encode_packed(leaf, LONG_CHUNK)) // 4 for leaf in self.leaves])
 
     def _build(self, counts: list[int]) -> None:
         self.counts = counts
@@ -102,7 +102,7 @@ class CountedText:
         end = min(max(end, start), size)
         if not self.leaves:
             self.leaves = leaves_of(new, self.size)
-            self._build([len(self.code.encode_packed(leaf)) // 4 for leaf in self.leaves])
+            self._build([len(self.code.encode_packed(leaf, LONG_CHUNK)) // 4 for leaf in self.leaves])
             self.reencoded += len(new)
             return
         a, before = self.tree.find(start)
@@ -121,7 +121,7 @@ class CountedText:
             lo -= 1
             fresh = self.leaves[lo] + fresh
         leaves = leaves_of(fresh, self.size)
-        counts = [len(self.code.encode_packed(leaf)) // 4 for leaf in leaves]
+        counts = [len(self.code.encode_packed(leaf, LONG_CHUNK)) // 4 for leaf in leaves]
         self.reencoded += len(fresh)
         same = len(leaves) == hi - lo
         self.leaves[lo:hi] = leaves

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import codec
+from .bpe import LONG_CHUNK, codec
 from .common import map_texts, settle, texts_of, tidy
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -59,9 +59,9 @@ def tokenised_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: i
 
     def encoded(c, text: str) -> bytes:
         if cut is None or not cut.search(text):
-            return c.encode_packed(text)
+            return c.encode_packed(text, LONG_CHUNK)
         # split() gives the texts between at even places, the added tokens at odd ones.
-        return b"".join(np.array([added[part]], "<u4").tobytes() if k % 2 else bytes(c.encode_packed(part)) for k, part in enumerate(cut.split(text)))
+        return b"".join(np.array([added[part]], "<u4").tobytes() if k % 2 else bytes(c.encode_packed(part, LONG_CHUNK)) for k, part in enumerate(cut.split(text)))
 
     def work(batch: pa.RecordBatch) -> dict:
         c = codec(ranks_path, pattern)

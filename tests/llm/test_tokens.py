@@ -35,6 +35,34 @@ def test_a_run_longer_than_chunks():
     assert sum((code.encoding.encode_ordinary(p) for p in code.pieces(text, 50, 10)), []) == code.encoding.encode_ordinary(text)
 
 
+def test_a_long_run_is_read_a_few_times():
+    code, seen = bpe.codec(RANKS, PATTERN), []
+    real = code.boundaries
+    code.boundaries = lambda chunk: seen.append(len(chunk)) or real(chunk)
+    try:
+        pieces = list(code.pieces("x" * 1_000_000 + " end", 1000, 100))
+    finally:
+        del code.boundaries
+    assert "".join(pieces) == "x" * 1_000_000 + " end" and sum(seen) < 6_000_000
+
+
+def test_characters_of_another_unicode_version():
+    code, rng = bpe.codec(MULTI, PATTERN), random.Random(2)
+    odd = [*map(chr, rng.sample(sorted(bpe.stand_ins(PATTERN)), min(400, len(bpe.stand_ins(PATTERN))))), " ", "a", "1", "!", "\n"]
+    for _ in range(200):
+        text = "".join(rng.choices(odd, k=150))
+        pieces = list(code.pieces(text, 20, 12))
+        assert "".join(pieces) == text
+        assert sum((code.encoding.encode_ordinary(p) for p in pieces), []) == code.encoding.encode_ordinary(text)
+
+
+def test_most_documents_have_several_chunks(spark):
+    texts = [r[0] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    code = bpe.codec(MULTI, PATTERN)
+    assert sum(len(list(code.pieces(t))) > 1 for t in texts) > len(texts) / 2
+    assert all(code.encode(t).tolist() == code.encoding.encode_ordinary(t) for t in texts)
+
+
 def test_rank_file_gives_the_tokenizer_files_ids(rows):
     from tokenizers import Tokenizer
 
