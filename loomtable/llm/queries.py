@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import audio, bpe, counts, langid, neardup, packing, quality, repeats, rules, urls
-from .common import hash_part, load
+from .common import hash_part, load, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_policy(rules.ledger(load(spark, sf_dir, "documents"))).select(*rules.COLUMNS)
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7's ledger, stored once, tells of each rule of the default policy."""
+    return rules.ablations(settle(rules.ledger(load(spark, sf_dir, "documents"))))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "copies", "n_links", "kept")
 
@@ -67,8 +72,8 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_url_filter, op3_token_counts, op4_quality, op5_media, op6_bpe, op7_quality_rules, op8_near_duplicates, op9_language, op10_repeats)}
+    return {f.__name__: f for f in (op1_packing, op2_url_filter, op3_token_counts, op4_quality, op5_media, op6_bpe, op7_quality_rules, quality_rule_ablations, op8_near_duplicates, op9_language, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": rules.ORACLE}
+    return {"op7_quality_rules": rules.ORACLE, "quality_rule_ablations": rules.ABLATIONS_ORACLE}

@@ -143,8 +143,8 @@ def ablations(book: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "policy")
 
-#: DuckDB: the same rows as the query over `documents`.
-ORACLE = r"""
+#: DuckDB: the measurements of `documents`, and the bits of the rules that fail.
+_MEASURED = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
@@ -164,13 +164,35 @@ m AS (
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN p USING (rid)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed
-       AND NOT (10 * n_symbols > 4 * n_words) AND NOT (10 * n_dup_lines > 5 * n_lines)
-       AND NOT (word_chars < 2 * n_words) AND NOT (word_chars > 14 * n_words) AS kept
+b AS (
+  SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
+         + (CASE WHEN 10 * n_symbols > 4 * n_words THEN 4 ELSE 0 END) + (CASE WHEN 10 * n_dup_lines > 5 * n_lines THEN 8 ELSE 0 END)
+         + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 14 * n_words THEN 32 ELSE 0 END)
+         + (CASE WHEN n_words < 100 THEN 64 ELSE 0 END) AS bits
+  FROM m)
+"""
+
+#: DuckDB: the same rows as the query over `documents`.
+ORACLE = (
+    _MEASURED
+    + """
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed,
+       bits & 63 = 0 AS kept, CAST(bits AS BIGINT) AS fail_bits, 'default/1' AS policy
 FROM b
 """
+)
+
+#: DuckDB: the ablations of the default policy over `documents`.
+ABLATIONS_ORACLE = (
+    _MEASURED
+    + """
+SELECT r.rule AS rule, CAST(count(*) FILTER (bits & r.bit <> 0) AS BIGINT) AS failed,
+       CAST(count(*) FILTER (bits & 63 = r.bit) AS BIGINT) AS failed_alone,
+       CAST(count(*) FILTER (bits & (63 - r.bit) = 0) AS BIGINT) AS kept_without
+FROM b, (VALUES ('few_words', 1), ('repeated_trigrams', 2), ('symbols', 4), ('duplicate_lines', 8), ('short_words', 16), ('long_words', 32)) AS r(rule, bit)
+GROUP BY r.rule
+"""
+)
 
 
 def keep_passing(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:

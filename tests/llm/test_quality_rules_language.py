@@ -113,7 +113,8 @@ def brute_rules(text):
         again = {i + k for i, w in enumerate(windows) if c[w] > 1 for k in range(3)}
     base = n < 50 or 100 * len(again) > 50 * n
     kept = not base and not (10 * symbols > 4 * n or 10 * dup > 5 * len(lines) or chars < 2 * n or chars > 14 * n)
-    return (n, chars, symbols, dup, len(again), base, kept)
+    failed = (n < 50, 100 * len(again) > 50 * n, 10 * symbols > 4 * n, 10 * dup > 5 * len(lines), chars < 2 * n, chars > 14 * n, n < 100)
+    return (n, chars, symbols, dup, len(again), base, kept, sum(f << k for k, f in enumerate(failed)), "default/1")
 
 
 def test_rules(docs, rows, empty):
@@ -124,19 +125,27 @@ def test_rules(docs, rows, empty):
     assert rules.ledger(empty).count() == 0
     kept = rules.keep_passing(docs)
     assert kept.columns == docs.columns
-    assert sorted(map(str, kept.collect())) == sorted(map(str, (r for r in docs.collect() if brute_rules(r["text"])[-1])))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, (r for r in docs.collect() if brute_rules(r["text"])[6])))
 
 
 def test_rules_in_sql(docs, rows):
     con = duckdb.connect()
     frame = docs.select("doc_id", "text").toPandas()  # noqa: F841  read by the view
     con.sql("CREATE TABLE documents AS SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM frame")
-    want = con.sql(rules.ORACLE).fetchall()
+    sql = con.sql(rules.ORACLE)
+    assert sql.columns == list(rules.COLUMNS)
+    want = sql.fetchall()
     assert sorted(map(repr, (tuple(r[1:]) for r in want))) == sorted(map(repr, (brute_rules(r[1]) for r in rows)))
 
 
 def test_ablations(docs):
     book = rules.ledger(docs)
+    con = duckdb.connect()
+    frame = docs.select("doc_id", "text").toPandas()  # noqa: F841  read by the view
+    con.sql("CREATE TABLE documents AS SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM frame")
+    sql = con.sql(rules.ABLATIONS_ORACLE)
+    found = rules.ablations(book)
+    assert sql.columns == found.columns and sorted(sql.fetchall()) == sorted(map(tuple, found.collect()))
     bits = [r["fail_bits"] for r in book.select("fail_bits").collect()]
     mask = rules.DEFAULT.mask
     for r in rules.ablations(book).collect():
