@@ -7,6 +7,13 @@ cut and encoded again, and the sums above them are brought up to date. Where the
 re-encoded stretch isn't a boundary of the old text any more, the stretch grows by another leaf.
 
 Counts equal encoding the whole edited text.
+
+Trees outlive a run: tree_table() makes a table of texts with the leaves' sizes and counts, and
+edit_trees() takes such a table with edits to the next one; neither cuts nor encodes what no edit touches.
+
+Null and empty texts have no leaves and no tokens; repeated rows keep trees of their own; an empty
+table gives an empty table; a very long text is one row, and a stretch of it without single spaces
+one leaf. Columns other than doc_id and text (and edits) are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LONG_CHUNK, Codec, codec
-from .common import map_texts
+from .common import map_texts, settle
 
 #: Characters of a leaf, about.
 LEAF = 256
@@ -79,10 +86,16 @@ class SumTree:
 class CountedText:
     """A text whose token count follows edits."""
 
-    def __init__(self, text: str, code: Codec, size: int = LEAF):
+    def __init__(self, text: str, code: Codec, size: int = LEAF, stored: tuple[list[int], list[int]] | None = None):
+        """stored: the characters and tokens of the leaves, where an earlier tree was kept."""
         self.code, self.size, self.reencoded = code, size, 0
-        self.leaves = leaves_of(text, size)
-        self._build([len(code.encode_packed(leaf, LONG_CHUNK)) // 4 for leaf in self.leaves])
+        if stored is None:
+            self.leaves = leaves_of(text, size)
+            self._build([len(code.encode_packed(leaf, LONG_CHUNK)) // 4 for leaf in self.leaves])
+        else:
+            ends = np.cumsum([0, *stored[0]]).tolist()
+            self.leaves = [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            self._build(list(stored[1]))
 
     def _build(self, counts: list[int]) -> None:
         self.counts = counts
@@ -133,26 +146,53 @@ class CountedText:
             self._build([*self.counts[:lo], *counts, *self.counts[hi:]])
 
 
-def count_with_edits(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, n_tokens_edited, n_edits, n_chars, n_chars_reencoded) of docs (doc_id, text, edits).
+TREES = "doc_id long, text string, leaf_chars array<int>, leaf_tokens array<int>"
+_INTS = pa.list_(pa.int32())
+
+
+def tree_table(docs: DataFrame, ranks_path: str, pattern: str, edits: bool = False) -> DataFrame:
+    """(doc_id, text, leaf_chars, leaf_tokens) of docs (doc_id, text), with their column of edits if asked for: the trees of all texts, to be kept."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        c = codec(ranks_path, pattern)
+        trees = [CountedText(text or "", c) for text in batch.column(1).to_pylist()]
+        out = {"doc_id": batch.column(0).cast(pa.int64()), "text": batch.column(1), "leaf_chars": pa.array([[len(leaf) for leaf in t.leaves] for t in trees], _INTS), "leaf_tokens": pa.array([t.counts for t in trees], _INTS)}
+        return out | ({"edits": batch.column(2)} if edits else {})
+
+    extra = f", edits {docs.schema['edits'].dataType.simpleString()}" if edits else ""
+    return map_texts(docs, TREES + extra, work, columns=("doc_id", "text", *(("edits",) if edits else ())))
+
+
+def edit_trees(trees: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """The trees of a table (doc_id, text, leaf_chars, leaf_tokens, edits) after its edits, with n_tokens (before),
+    n_tokens_edited, n_edits, n_chars and n_chars_reencoded.
 
     edits: array of (start, stop, replacement), applied in order, each to the text that the ones before
     left; null, or a null text, count as none and empty. Null replacements delete.
     """
+    numbers = ("n_tokens", "n_tokens_edited", "n_edits", "n_chars", "n_chars_reencoded")
 
     def work(batch: pa.RecordBatch) -> dict:
         c = codec(ranks_path, pattern)
         rows = []
-        for doc_id, text, edits in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            t = CountedText(text or "", c)
+        for text, chars, tokens, edits in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+            t = CountedText(text or "", c, stored=(chars, tokens))
             n = t.tokens
             for e in edits or ():
                 t.edit(e["start"] or 0, e["stop"] or 0, e["replacement"] or "")
-            rows.append((doc_id, n, t.tokens, len(edits or ()), t.tree.totals[0], t.reencoded))
-        names = ("doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_chars", "n_chars_reencoded")
-        return {name: pa.array([r[k] for r in rows], pa.int64()) for k, name in enumerate(names)}
+            rows.append((t.text(), [len(leaf) for leaf in t.leaves], t.counts, n, t.tokens, len(edits or ()), t.tree.totals[0], t.reencoded))
+        kinds = (pa.string(), _INTS, _INTS, *[pa.int64()] * 5)
+        names = ("text", "leaf_chars", "leaf_tokens", *numbers)
+        return {"doc_id": batch.column(0)} | {name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(zip(names, kinds, strict=True))}
 
-    return map_texts(docs, "doc_id long, n_tokens long, n_tokens_edited long, n_edits long, n_chars long, n_chars_reencoded long", work, columns=("doc_id", "text", "edits"))
+    return map_texts(trees, TREES + "".join(f", {n} long" for n in numbers), work, columns=("doc_id", "text", "leaf_chars", "leaf_tokens", "edits"))
+
+
+def count_with_edits(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, n_tokens_edited, n_edits, n_chars, n_chars_reencoded) of docs (doc_id, text, edits): the trees
+    are stored as a table in the shared folder, and the edits are applied to what it holds."""
+    kept = settle(tree_table(docs, ranks_path, pattern, edits=True))
+    return edit_trees(kept, ranks_path, pattern).drop("text", "leaf_chars", "leaf_tokens")
 
 
 def attach_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from hashlib import sha256
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from loomtable.llm import bpe, counts, packing, queries
 
@@ -197,6 +198,22 @@ def test_counts_with_a_table_of_edits(spark, docs, rows, empty):
     assert counts.count_with_edits(counts.sample_edits(empty), RANKS, PATTERN).count() == 0
 
 
+def test_stored_trees_take_further_edits(spark):
+    code = bpe.codec(RANKS, PATTERN)
+    text = "some words, and more of them " * 400
+    docs = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "")], "doc_id long, text string")
+    trees = counts.tree_table(docs, RANKS, PATTERN)
+    for start, stop, new in ((5000, 5010, "changed"), (0, 0, "first "), (20, 9000, None)):
+        one = F.array(F.struct(F.lit(start).cast("long").alias("start"), F.lit(stop).cast("long").alias("stop"), F.lit(new).cast("string").alias("replacement")))
+        after = counts.edit_trees(trees.withColumn("edits", one), RANKS, PATTERN)
+        text = text[:start] + (new or "") + text[stop:]
+        got = after.collect()
+        ones = [r for r in got if r["doc_id"] == 1]
+        assert len(got) == 4 and all(r["text"] == text and r["n_tokens_edited"] == len(code.encode(text)) == sum(r["leaf_tokens"]) for r in ones)
+        assert all(r["n_chars_reencoded"] < 2500 for r in ones)  # of more than 2,600: only what the edit touches
+        trees = spark.createDataFrame([(r["doc_id"], r["text"], r["leaf_chars"], r["leaf_tokens"]) for r in got], counts.TREES)
+
+
 def test_packing_is_as_good_as_best_fit_decreasing():
     rng = np.random.default_rng(3)
     lengths = np.minimum(np.exp(rng.normal(5.8, 1.1, 20_000)).astype(int) + 1, 2048)
