@@ -10,6 +10,7 @@ Every function takes and returns whole byte strings, of any length; empty audio
 from __future__ import annotations
 
 import json
+import math
 import struct
 import zlib
 from hashlib import sha256
@@ -23,6 +24,9 @@ from .common import map_texts
 #: Format tags of WAV, and the rate of telephony.
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 17
 RATE = 8000
+CODECS = {MU_LAW: "mu-law", A_LAW: "a-law", IMA_ADPCM: "adpcm"}
+#: Samples that are resampled or measured at a time.
+BLOCK = 1 << 20
 #: Fixed values of IMA ADPCM: how a 4-bit code moves the step index.
 INDEX_MOVES = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int64)
 
@@ -168,23 +172,27 @@ def _mono(pcm: np.ndarray, channels: int) -> np.ndarray:
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation at the new rate's instants."""
+    """Linear interpolation at the new rate's instants, a block of instants at a time."""
     if rate == to or not len(pcm):
         return pcm.astype(np.int16)
     n = len(pcm) * to // rate
-    at = np.arange(n, dtype=np.int64) * rate
-    i, part = at // to, at % to
-    a, b = pcm[i].astype(np.int64), pcm[np.minimum(i + 1, len(pcm) - 1)].astype(np.int64)
-    return (a + (b - a) * part // to).astype(np.int16)
+    out = np.empty(n, np.int16)
+    for start in range(0, n, BLOCK):
+        at = np.arange(start, min(n, start + BLOCK), dtype=np.int64) * rate
+        i, part = at // to, at % to
+        a, b = pcm[i].astype(np.int64), pcm[np.minimum(i + 1, len(pcm) - 1)].astype(np.int64)
+        out[start : start + len(at)] = a + (b - a) * part // to
+    return out
 
 
 def features(pcm: np.ndarray, rate: int) -> str:
-    """Level, peak, offset and zero crossings, as JSON."""
-    x = pcm.astype(np.float64)
-    n = len(x)
-    rms = float(np.sqrt((x * x).mean())) if n else 0.0
+    """Level, peak, offset and zero crossings, as JSON; whole sums of blocks."""
+    n, squares, total, peak = len(pcm), 0, 0, 0
+    for start in range(0, n, BLOCK):
+        x = pcm[start : start + BLOCK].astype(np.int64)
+        squares, total, peak = squares + int((x * x).sum()), total + int(x.sum()), max(peak, int(np.abs(x).max()))
     crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0))) if n else 0
-    return json.dumps({"samples": n, "rate": rate, "rms": round(rms, 3), "peak": int(np.abs(x).max()) if n else 0, "mean": round(float(x.mean()), 3) if n else 0.0, "crossings": crossings})
+    return json.dumps({"samples": n, "rate": rate, "rms": round(math.sqrt(squares / n), 3) if n else 0.0, "peak": peak, "mean": round(total / n, 3) if n else 0.0, "crossings": crossings})
 
 
 def store_pcm(media: bytes, rate: int = 16000) -> bytes:
@@ -222,23 +230,48 @@ def payload_of(text: bytes) -> bytes:
     return text + b"\0" * (max(64, -(-len(text) // 64) * 64) - len(text))
 
 
+def stored_payload(payload: bytes) -> bytes:
+    """The payload as a WAV file in one of the three formats, which its checksum chooses; each keeps every byte.
+
+    mu-law and A-law: a byte is a sample. ADPCM: 64 bytes are a block (a head of four bytes, 120 codes).
+    """
+    tag = (MU_LAW, A_LAW, IMA_ADPCM)[zlib.crc32(payload) % 3]
+    return wav(payload, tag, bits=4, block=64, samples_per_block=121) if tag == IMA_ADPCM else wav(payload, tag)
+
+
+def expanded(media: list[bytes]) -> list[np.ndarray]:
+    """The samples of stored payloads; the ADPCM blocks of all of them are decoded in one go."""
+    told = [read_wav(m) for m in media]
+    blocks = [w["data"] for w in told if w["tag"] == IMA_ADPCM]
+    flat, at, out = decode_adpcm(b"".join(blocks), 64), 0, []
+    for w in told:
+        if w["tag"] == IMA_ADPCM:
+            out.append(flat[at : at + w["samples"]])
+            at += w["samples"]
+        else:
+            out.append(EXPAND[w["tag"]][np.frombuffer(w["data"], np.uint8)])
+    return out
+
+
 def stored_texts(docs: DataFrame, rate: int = 16000) -> DataFrame:
-    """Stores every text's payload as mu-law samples, reads it back, expands, resamples and measures it.
+    """Stores every text's payload as mu-law, A-law or ADPCM, reads it back and expands it; stores the resampled PCM,
+    and measures what is read back of that.
 
-    Null is an empty text (64 zero bytes); equal texts give equal values; long texts are one recording.
+    Null is an empty text (64 zero bytes); equal texts give equal values; long texts are one recording. Repeated rows
+    repeat, an empty table gives none, and columns other than doc_id and text are not read.
     """
-    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes")
+    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "pcm_bytes", "pcm_sha256")
 
     def work(batch: pa.RecordBatch) -> dict:
+        raws = [(text or "").encode() for text in batch.column(1).to_pylist()]
+        stored = [stored_payload(payload_of(raw)) for raw in raws]
         rows: list[tuple] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            raw = (text or "").encode()
-            media = wav(payload_of(raw), MU_LAW)
-            back = read_wav(media)["data"]
-            pcm, own = to_pcm(media)
-            wide = resample(pcm, own, rate)
-            rows.append((doc_id, len(raw), len(back), sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), sha256(media).hexdigest(), features(wide, rate), 2 * len(wide)))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        for doc_id, raw, media, pcm in zip(batch.column(0).to_pylist(), raws, stored, expanded(stored), strict=True):
+            told = read_wav(media)
+            back = told["data"]
+            kept = wav(resample(pcm, told["rate"], rate).astype("<i2", copy=False).tobytes(), PCM, rate, 16)
+            rows.append((doc_id, len(raw), len(back), sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), sha256(media).hexdigest(), features(*to_pcm(kept)), CODECS[told["tag"]], len(kept), sha256(kept).hexdigest()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
         return {n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(zip(names, kinds, strict=True))}
 
-    return map_texts(docs, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long", work)
+    return map_texts(docs, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, pcm_bytes long, pcm_sha256 string", work)

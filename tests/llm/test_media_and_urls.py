@@ -1,5 +1,6 @@
 """Audio columns and the url filter."""
 
+import json
 import math
 import zlib
 from hashlib import sha256
@@ -64,14 +65,24 @@ def test_resampling():
 
 
 def test_stored_texts(docs, rows, empty):
-    by = {}
+    by, used = {}, set()
     for r in audio.stored_texts(docs).collect():
         raw = next((x[1] or "") for x in rows if x[0] == r["doc_id"] and (r["doc_id"] is not None or len((x[1] or "").encode()) == r["n_bytes"])).encode()
         size = max(64, math.ceil(len(raw) / 64) * 64)
         payload = raw + b"\0" * (size - len(raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), size, sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r["media_bytes"] == size + 58 and r["media_sha256"] == sha256(audio.wav(payload, audio.MU_LAW)).hexdigest()
+        tag = {"mu-law": audio.MU_LAW, "a-law": audio.A_LAW, "adpcm": audio.IMA_ADPCM}[r["codec"]]
+        media = audio.wav(payload, tag, bits=4, block=64, samples_per_block=121) if tag == audio.IMA_ADPCM else audio.wav(payload, tag)
+        assert r["media_bytes"] == len(media) and r["media_sha256"] == sha256(media).hexdigest()
+        pcm, rate = audio.to_pcm(media)
+        twice = [v for k, a in enumerate(pcm.tolist()) for v in (a, a + (pcm.tolist()[min(k + 1, len(pcm) - 1)] - a) // 2)] if len(pcm) < 2000 else audio.resample(pcm, rate, 16000).tolist()
+        assert r["pcm_sha256"] == sha256(audio.wav(np.array(twice, "<i2").tobytes(), audio.PCM, 16000, 16)).hexdigest()
+        if len(pcm) < 2000:
+            x = np.array(twice, float)
+            assert json.loads(r["feature"]) == {"samples": len(x), "rate": 16000, "rms": round(float(np.sqrt((x * x).mean())), 3), "peak": int(np.abs(x).max()), "mean": round(float(x.mean()), 3), "crossings": int(((x[1:] < 0) != (x[:-1] < 0)).sum())}
+        used.add(tag)
         assert by.setdefault(raw, tuple(r)[1:]) == tuple(r)[1:]
+    assert len(used) == 3
     assert audio.stored_texts(docs).count() == len(rows) and audio.stored_texts(empty).count() == 0
 
 
