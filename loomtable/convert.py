@@ -30,6 +30,8 @@ class Conversion:
     base: str
     standard: bool
     problems: list[str] = field(default_factory=list)
+    #: by table: the records that have fewer fields than the widest
+    ragged: dict[str, DataFrame] = field(default_factory=dict)
 
     @property
     def warnings(self) -> list[str]:
@@ -45,7 +47,10 @@ class Conversion:
         return distinct_triples(out) if distinct else out
 
     def errors(self) -> DataFrame:
-        return validate_group(self.compilers)
+        """Faults of cells and keys, and of files the short records (kind `fields`: how many there are); their row is the
+        number in the source, as such records needn't be rows."""
+        short = [r.select(F.lit(url).alias("table"), F.col("_source_row").cast("string").alias("row"), F.lit(None).cast("string").alias("column"), F.lit("fields").alias("kind"), F.col("fields").cast("string").alias("value")) for url, r in self.ragged.items()]
+        return reduce(lambda a, b: a.unionByName(b), short, validate_group(self.compilers))
 
     def views(self, prefix: str = "") -> list[str]:
         """Registers each table's raw rows as a temporary view; the names."""
@@ -78,7 +83,7 @@ def convert_group(spark: SparkSession, group: TableGroup, *, base: str, resolver
     """Reads every table that isn't suppressed (or that a foreign key refers to) and compiles it."""
     resolver = resolver or SparkResolver(spark)
     referred = {k.resource for t in group.tables for k in t.schema.foreign_keys} | {t.url for t in group.tables if t.schema.id and any(k.schema_reference == t.schema.id for u in group.tables for k in u.schema.foreign_keys)}
-    compilers, problems = [], []
+    compilers, problems, ragged = [], [], {}
     for k, table in enumerate(group.tables):
         if table.suppress_output and table.url not in referred:
             continue
@@ -86,7 +91,8 @@ def convert_group(spark: SparkSession, group: TableGroup, *, base: str, resolver
         if scan.header is not None:
             problems += [f"{table.url}: {p}" for p in check_header(table, scan.header, group.language)]
         compilers.append(TableCompiler(group, table, scan.rows, k, string_datatype))
-    return Conversion(spark, group, compilers, base, standard, problems)
+        ragged[table.url] = scan.ragged
+    return Conversion(spark, group, compilers, base, standard, problems, ragged)
 
 
 def convert(spark: SparkSession, source: str, *, metadata: str | dict | None = None, link: str | None = None, resolver: Resolver | None = None, standard: bool = True, string_datatype: bool = True, splittable: bool = False) -> Conversion:

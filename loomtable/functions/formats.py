@@ -157,7 +157,11 @@ def temporal_format(x: Column, pattern: str, kind: str) -> Formatted:
 def default_temporal(x: Column, kind: str) -> Formatted:
     """Dates and date-times without a format: canonical text stays, other readable forms are written canonically in UTC."""
     canonical = lexically_valid(kind, x)
-    other = F.date_format(x.try_cast("timestamp"), ISO[kind])
+    # Text with a zone is an instant, shown in UTC; text without one is read as it stands, whatever the session's zone.
+    seconds = F.unix_seconds(x.try_cast("timestamp")).try_cast("decimal(18,6)")
+    zoned = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
+    written = F.when(x.rlike(r"\d:.*(Z|[A-Za-z]|[+-]\d{1,2}(:?\d{2})?)$"), zoned).otherwise(x.try_cast("timestamp_ntz")).cast("string")
+    other = F.substring(written, 1, 10) if kind == "date" else F.replace(F.substring(written, 1, 19), F.lit(" "), F.lit("T"))
     return Formatted(canonical | other.isNotNull(), F.when(canonical, x).otherwise(other))
 
 

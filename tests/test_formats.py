@@ -76,6 +76,19 @@ def test_bad_number_patterns(pattern):
         number_regex(NumericFormat(pattern))
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_default_dates_do_not_follow_the_session(spark, zone):
+    from loomtable.functions.formats import default_temporal
+
+    was = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        check(spark, lambda x: default_temporal(x, "dateTime"), [("2024-3-1", "2024-03-01T00:00:00"), ("2024-03-10 02:30:00", "2024-03-10T02:30:00"), ("2024-03-10 01:30:00+05:30", "2024-03-09T20:00:00"), ("2024-11-03 06:30:00+00:00", "2024-11-03T06:30:00"), ("2024-03-10T12:00:00Z", "2024-03-10T12:00:00Z"), ("x", None)])
+        check(spark, lambda x: default_temporal(x, "date"), [("2024-03-10", "2024-03-10"), ("2024-3-1", "2024-03-01"), ("2024-03-10 01:30:00+05:30", "2024-03-09")])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+
+
 def test_registered_formats_and_datatypes(spark):
     from loomtable.functions import datatypes, formats
     from loomtable.plans.model import Datatype
