@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import squeeze
 from ..functions.datatypes import REGISTRY
 from ..functions.formats import Formatted, compile_format
+from ..functions.template import expressions
 from ..plans import model
 from .triples import CompiledColumn, TableCompiler
 
@@ -137,9 +138,19 @@ def column_faults(compiler: TableCompiler, c: CompiledColumn) -> list[Column]:
     return out + [_fault(kind, c.value.isNotNull() & wrong, name, c.value) for kind, wrong in element_faults(c.value, compiler.told(c.column, c.props), datatype)]
 
 
+def unbound_faults(compiler: TableCompiler, c: CompiledColumn) -> list[Column]:
+    """Values that give no triple, as a variable of the subject's or predicate's template has none."""
+    if c.column.virtual or c.column.suppress_output or compiler.table.suppress_output:
+        return []
+    present = c.values if c.values is not None else c.value
+    shown = c.value if c.values is None else F.array_join(c.values, "|")
+    nodes = {"aboutUrl": c.subject.value, "propertyUrl": c.predicate}
+    return [_fault(kind, present.isNotNull() & node.isNull(), c.column.name, shown) for kind, node in nodes.items() if c.props[kind] and expressions(c.props[kind])]
+
+
 def cell_errors(compiler: TableCompiler, row: Column) -> DataFrame:
     """Errors of single cells: one pass over the table, no shuffle. row: what names a row in the result."""
-    faults = [f for c in compiler.compiled for f in column_faults(compiler, c)]
+    faults = [f for c in compiler.compiled for f in column_faults(compiler, c) + unbound_faults(compiler, c)]
     if not faults:
         return compiler.frame.sparkSession.createDataFrame([], SCHEMA)
     found = F.explode(F.filter(F.array(*faults), lambda f: f.isNotNull()))

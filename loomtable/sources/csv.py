@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +17,7 @@ class Scan:
 
     rows: DataFrame
     header: list[str] | None
-    #: records whose number of fields differs from the widest
+    #: (_source_row, fields) of the records with fewer fields than the widest
     ragged: DataFrame
 
 
@@ -70,8 +71,7 @@ def read_csv(spark: SparkSession, path: str, dialect: Dialect | None = None, *,
     if d.skip_blank_rows:
         rows = rows.filter(~F.forall(F.array(*[F.coalesce(F.col(n), F.lit("")) for n in names]), lambda x: F.trim(x) == ""))
     source = F.col("_at") + 1
-    present = F.size(F.filter(F.array(*names), lambda x: x.isNotNull()))
-    ragged = rows.filter(present != len(names)).select(source.alias("_source_row"), present.alias("fields"))
+    ragged = _short(spark, path, d, options, schema, width, used, splittable)
     fields = [F.coalesce(_trimmed(F.col(n), d.trim), F.lit("")).alias(header[k] if header and k < len(header) and header[k] and header.count(header[k]) == 1 else f"_col.{k + 1}") for k, n in enumerate(names)]
     if d.skip_blank_rows:
         # Skipped records leave a gap in the source's numbers only; they are few tasks' counts, as above.
@@ -82,6 +82,24 @@ def read_csv(spark: SparkSession, path: str, dialect: Dialect | None = None, *,
     return Scan(rows.select(*fields, row.alias("_row"), source.alias("_source_row")), header, ragged)
 
 
+def _short(spark: SparkSession, path: str, d: Dialect, options: dict[str, str], schema: str, width: int, used: int, splittable: bool) -> DataFrame:
+    """(_source_row, fields) of the records with fewer fields than the widest; a scan of its own, once it is asked for.
+
+    The reader hands over the text of a record that hasn't all fields; delimiters outside of quotes are counted there.
+    With a comment prefix of several characters there are none, as such files are read line by line.
+    """
+    if width == 1 or (d.comment_prefix and len(d.comment_prefix) > 1):
+        return spark.createDataFrame([], "_source_row long, fields int")
+    read = spark.read.schema(f"{schema}, _raw string").options(**options).option("columnNameOfCorruptRecord", "_raw").option("multiLine", str(not splittable).lower()).csv(path)
+    rows = _numbered(read.select("_c0", "_raw", F.monotonically_increasing_id().alias("_at"))).filter(F.col("_at") >= d.skip_rows + d.header_rows)
+    rows = rows.filter(F.col("_c0").isNotNull() | F.col("_raw").isNotNull())  # others are whole; Spark refuses to read _raw alone
+    quote = re.escape(d.quote_char) if d.quote_char else None
+    bare = F.regexp_replace("_raw", f"{quote}[^{quote}]*{quote}", "_") if quote else F.col("_raw")
+    fields = F.when(F.col("_raw").isNull(), F.lit(width)).otherwise(F.size(F.split(bare, re.escape(d.delimiter), -1)))
+    rows = rows.select((F.col("_at") + 1).alias("_source_row"), fields.alias("fields"), F.trim(F.replace("_raw", F.lit(d.delimiter), F.lit(""))).alias("_text")).filter(F.col("fields") < used)
+    return (rows.filter("coalesce(_text, '') <> ''") if d.skip_blank_rows else rows).drop("_text")
+
+
 def _numbered(df: DataFrame) -> DataFrame:
     """`_at` from monotonically increasing numbers to 0, 1, 2, ...: partitions follow those before them."""
     part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))

@@ -88,6 +88,13 @@ def test_ragged_rows_quotes_and_line_ends(run):
     assert got == {lit(BASE + "1/2", "a", "1"), lit(BASE + "1/2", "b", 'two "2"\nlines'), lit(BASE + "2/3", "a", "3"), lit(BASE + "3/4", "a", "4"), lit(BASE + "3/4", "b", "5"), lit(BASE + "3/4", "_col.3", "6")}
 
 
+def test_short_records_and_unbound_templates_are_errors(run):
+    done, got = run({"url": URL, "tableSchema": {"aboutUrl": BASE + "{a}", "columns": [{"name": "a"}, {"name": "b"}, {"name": "c", "propertyUrl": BASE + "p/{b}"}]}}, "a,b,c\n1,2,3\n,5,6\n7\n8,,9\n")
+    assert got == {lit(BASE + "1", "a", "1"), lit(BASE + "1", "b", "2"), lit(BASE + "1", BASE + "p/2", "3"), lit(BASE + "7", "a", "7"), lit(BASE + "8", "a", "8")}
+    told = {(r["row"], r["column"], r["kind"], r["value"]) for r in done.errors().collect()}
+    assert told == {("2", "b", "aboutUrl", "5"), ("2", "c", "aboutUrl", "6"), ("4", "c", "propertyUrl", "9"), ("4", None, "fields", "1")}
+
+
 def test_no_header(run):
     _, got = run({"url": URL, "aboutUrl": BASE + "{_row}", "dialect": {"header": False}}, "1,2\n3,4\n")
     assert got == {lit(BASE + "1", "_col.1", "1"), lit(BASE + "1", "_col.2", "2"), lit(BASE + "2", "_col.1", "3"), lit(BASE + "2", "_col.2", "4")}
