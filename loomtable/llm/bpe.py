@@ -68,7 +68,6 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
-        self.stand_ins = stand_ins(pattern)
         self.raw = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             self.raw[rank] = piece
@@ -87,7 +86,10 @@ class Codec:
         if size <= chunk:
             yield text
             return
-        read = text if self.stand_ins.keys().isdisjoint(map(ord, set(text))) else text.translate(self.stand_ins)
+        read = text
+        if not text.isascii():
+            other = stand_ins(self.encoding._pat_str)
+            read = text if other.keys().isdisjoint(map(ord, set(text))) else text.translate(other)
         left = self.boundaries(read[: chunk + overlap])
         while nxt < size:
             right = nxt + self.boundaries(read[nxt : nxt + chunk + overlap])
