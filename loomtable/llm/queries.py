@@ -16,6 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE, BYTE_BPE_MULTI = "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"
 #: The tokenizer file of BYTE_BPE, for its added tokens.
 BYTE_BPE_FILE = "byte_bpe_50k.json"
+#: Bytes from which op10 tells of a repeated string that it does not remove, as passages of over 50 words are; the pipeline cuts from here.
+PASSAGE = 240
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +70,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.removed_digests(load(spark, sf_dir, "documents"))
+    return repeats.removed_digests(load(spark, sf_dir, "documents"), passage=PASSAGE)
 
 
 def queries() -> dict[str, Query]:

@@ -15,6 +15,8 @@
 4. An anchor with more than HOT different fragments (a passage that many documents share, with other
    text around it) isn't given to one task: its fragments are cut again with longer anchors, which
    contain more of what surrounds them, along a ladder. At its end an anchor is a whole window.
+5. Two lengths. Where spans of a shorter length are wanted too, they are found first: a string of MIN_LENGTH
+   bytes that occurs twice lies wholly inside one of them, so the steps above then read these spans only.
 
 Matches don't cross documents. A null text is an empty one; repeated rows are repeats of each other;
 null ids are allowed. Texts shorter than MIN_LENGTH keep all their bytes.
@@ -121,7 +123,7 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     for k in range(step):
         key = key * np.uint64(257) + wide[k : n + k]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys in any order: what is asked of an interval doesn't depend on it
         ranked = key[order]
         rank = np.zeros(n, np.uint64)
         rank[order] = np.cumsum(np.concatenate([[1], (ranked[1:] != ranked[:-1]).astype(np.int64)])).astype(np.uint64)
@@ -279,11 +281,30 @@ def ladder(length: int) -> tuple[int, ...]:
     return tuple(sorted({max(1, length * share // 100) for share in (32, 84, 98, 100)}))
 
 
-def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int, ...] | None = None, hot: int = HOT) -> DataFrame:
-    """(doc_id, tag, start, stop), a settled table: spans of bytes, which may overlap, of all repeated windows."""
-    grams = grams or ladder(length)
+def _whole_units(docs: DataFrame) -> DataFrame:
+    """Every text of docs as a unit of its own."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    units = docs.select("doc_id", _tag(text).alias("tag"), F.lit(0).cast("long").alias("base"), text.cast("binary").alias("text"))
+    return docs.select("doc_id", _tag(text).alias("tag"), F.lit(0).cast("long").alias("base"), text.cast("binary").alias("text"))
+
+
+def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int, ...] | None = None, hot: int = HOT) -> DataFrame:
+    """(doc_id, tag, start, stop), a settled table: maximal spans of bytes of all repeated windows."""
+    return _spans_of(_whole_units(docs), length, grams or ladder(length), hot)
+
+
+def nested_spans(docs: DataFrame, length: int, shorter: int, grams: tuple[int, ...] | None = None, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """repeated_spans of two lengths, that of `length` first; it is looked for inside the spans of the shorter one."""
+    if not 0 < shorter <= length:
+        raise ValueError(f"{shorter} is not a length of 1 to {length}")
+    short = repeated_spans(docs, shorter, hot=hot)
+    size, none = F.col("stop") - F.col("start"), F.lit(0).cast("long")
+    wide = short.filter(size >= length).select(none.alias("anchor"), F.lit(False).alias("done"), "doc_id", "tag", none.alias("base"), "start", (size - (length - 1)).cast("int").alias("n"))
+    inside = settle(_fetch(_whole_units(docs), wide, length).select("doc_id", "tag", "base", "text"))
+    return _spans_of(inside, length, grams or ladder(length), hot), short
+
+
+def _spans_of(units: DataFrame, length: int, grams: tuple[int, ...], hot: int) -> DataFrame:
+    """The repeated windows of units as maximal spans of their documents; settled units are removed."""
     spans: list[DataFrame] = []
     for level, gram in enumerate(grams):
         every = settle(_run_rows(units, gram, length))
@@ -326,17 +347,17 @@ def joined_spans(spans: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _with_spans(docs: DataFrame, length: int, grams: tuple[int, ...] | None, hot: int) -> DataFrame:
-    """(row, spans): every row of docs as a struct, and the sorted spans of its text or null.
+def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(row, spans): every row of docs as a struct, and the sorted spans (start, stop and further columns) of its text or null.
 
     Only texts that may have spans are shuffled to meet them.
     """
-    spans = repeated_spans(docs.select("doc_id", "text"), length, grams, hot)
-    lists = spans.groupBy(F.col("doc_id").alias("id"), "tag").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    told = F.struct(*[c for c in spans.columns if c not in ("doc_id", "tag")])
+    lists = spans.groupBy(F.col("doc_id").alias("id"), "tag").agg(F.sort_array(F.collect_list(told)).alias("spans"))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", _tag(F.coalesce("text", F.lit(""))).alias("own"))
     some, none = sifted(keyed, F.xxhash64("doc_id", "own"), spans, F.xxhash64("doc_id", "tag"))
     found = some.join(lists, some.doc_id.eqNullSafe(lists.id) & (some.own == lists.tag), "left").select("row", "spans")
-    return found.union(none.select("row", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans")))
+    return found.union(none.select("row", F.lit(None).cast(lists.schema["spans"].dataType).alias("spans")))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -356,21 +377,34 @@ def kept_parts(raw: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends, [*(a for a, _ in runs), len(raw)], strict=True)]
 
 
-def removed_digests(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int, ...] | None = None, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
-    rows = _with_spans(docs.select("doc_id", "text"), length, grams, hot).select("row.doc_id", F.coalesce("row.text", F.lit("")).alias("text"), "spans")
+def removed_digests(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int, ...] | None = None, hot: int = HOT, passage: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document.
+
+    With `passage`, a shorter length, there is a last column n_passage_bytes: the bytes inside strings of that many
+    bytes which start in two places or more. They count what is removed too, and change nothing about it.
+    """
+    docs = docs.select("doc_id", "text")
+    if passage is None:
+        spans = repeated_spans(docs, length, grams, hot).withColumn("whole", F.lit(True))
+    else:
+        long, short = nested_spans(docs, length, passage, grams, hot)
+        spans = long.withColumn("whole", F.lit(True)).union(short.withColumn("whole", F.lit(False)))
+    rows = _with_spans(docs, spans).select("row.doc_id", F.coalesce("row.text", F.lit("")).alias("text"), "spans")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", n_passage_bytes long" if passage else "")
 
     def run(batches):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
         for batch in text_slices(batches):
-            cols: tuple[list, ...] = ([], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [])
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw, runs = text.encode(), merged(spans)
-                for c, v in zip(cols, (len(raw), sum(b - a for a, b in runs), len(runs), sha256(b"".join(kept_parts(raw, runs))).hexdigest()), strict=True):
+                raw, runs = text.encode(), merged([s for s in spans or () if s["whole"]])
+                again = sum(b - a for a, b in merged(spans)) if passage else 0
+                for c, v in zip(cols, (len(raw), sum(b - a for a, b in runs), len(runs), sha256(b"".join(kept_parts(raw, runs))).hexdigest(), again), strict=True):
                     c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            names = [c.split()[0] for c in schema.split(", ")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))][: len(names)], names)
 
-    return rows.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def without_repeats(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int, ...] | None = None, hot: int = HOT) -> DataFrame:
@@ -381,7 +415,7 @@ def without_repeats(docs: DataFrame, length: int = MIN_LENGTH, grams: tuple[int,
     columns = docs.columns
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.col("n_chars").cast("long"))
-    rows = _with_spans(docs, length, grams, hot).select("row.*", "spans")
+    rows = _with_spans(docs, repeated_spans(docs.select("doc_id", "text"), length, grams, hot)).select("row.*", "spans")
     at, schema = columns.index("text"), docs.schema
 
     def run(batches):

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from loomtable.llm import components, neardup, packing, quality, repeats, rules
+from loomtable.llm import components, neardup, packing, quality, queries, repeats, rules
 from loomtable.llm.shingles import shingle_sets
 
 from .conftest import SCHEMA, edited, prose
@@ -252,6 +252,31 @@ def test_repeats(docs, rows, empty, hot):
     assert repeats.removed_digests(empty).count() == 0 and repeats.without_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2048, 1])
+def test_repeats_and_shorter_passages(docs, rows, empty, hot):
+    """Removal is that of 400 bytes; beside it, what strings of 240 bytes cover."""
+    want, short = (brute_repeats([r[1] for r in rows], n) for n in (400, 240))
+    told = [tuple(r) for r in repeats.removed_digests(docs, hot=hot, passage=240).collect()]
+    plain = [(r[0], len((r[1] or "").encode()), n, k, sha256(kept).hexdigest(), m) for r, (kept, n, k), (_, m, _) in zip(rows, want, short, strict=True)]
+    assert sorted(map(str, told)) == sorted(map(str, plain)) and any(r[5] > r[2] for r in told)
+    assert repeats.removed_digests(empty, hot=hot, passage=240).count() == 0
+    with pytest.raises(ValueError):
+        repeats.removed_digests(docs, passage=401)
+
+
+def test_query_tells_of_passages_of_over_50_words(spark, tmp_path):
+    """A passage of 51 words that two documents share is too short to be removed, and is told of."""
+    rng = random.Random(9)
+    part = " ".join(f"w{k:04d}" for k in range(51))
+    texts = [prose(rng, 80) + "\n" + part + "\n" + prose(rng, 80), "É" + part, prose(rng, 200), part[: corpus_pipeline.PASSAGE - 1], None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op10_repeats(spark, str(tmp_path)).collect()}
+    assert queries.PASSAGE == corpus_pipeline.PASSAGE and corpus_pipeline.PASSAGE <= len(part) < 400
+    for i, (kept, n, k) in enumerate(brute_repeats(texts, 400)):
+        assert (got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (n, k, sha256(kept).hexdigest()) and n == 0
+    assert [got[i]["n_passage_bytes"] for i in range(5)] == [len(part), len(part), 0, 0, 0]
+
+
 def test_long_texts_in_chunks(monkeypatch, spark):
     monkeypatch.setattr(repeats, "CUT", 1 << 11)
     rng = random.Random(6)
